@@ -96,7 +96,9 @@ def instants(df: DataFrame, text: str, zone: str, date_alone: str | Column = "fa
     ruled_u = f"CASE WHEN unix_seconds(from_utc_timestamp(timestamp_seconds(_u), _zone)) = _local AND NOT ({again}) THEN _u END"
     count = f"coalesce({num(0)}, cast(floor({num(1)} / 1000) AS bigint), cast(floor({num(2)} / 1000000) AS bigint))"
     out = out.selectExpr("*", f"coalesce({count}, CASE WHEN _offset IS NOT NULL THEN _local - _offset * 60 ELSE {ruled_u} END) AS utc_seconds")
-    return out.withColumn("utc", F.expr(_iso("utc_seconds"))).select(*df.columns, "utc_seconds", "utc")
+    # A generator is a fence: a later filter on the result isn't pushed through, and so copied into, all steps above.
+    out = out.select(*df.columns, F.explode(F.array(F.struct("utc_seconds"))).alias("_done"))
+    return out.select(*df.columns, "_done.utc_seconds", F.expr(_iso("_done.utc_seconds")).alias("utc"))
 
 
 def report_instants(reports: DataFrame, states: DataFrame, posted_zone: str = "America/Los_Angeles") -> DataFrame:

@@ -22,7 +22,7 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     found = instants.report_instants(table(spark, folder, "nuforc"), table(spark, folder, "state_centroid"))
-    return found.where("utc IS NOT NULL").select("row_id", "field_name", "utc").distinct()
+    return found.where("utc_seconds IS NOT NULL").select("row_id", "field_name", "utc")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_unified, p2_found)}
