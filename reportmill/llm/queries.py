@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import clusters, neighbors
+from reportmill.llm import clusters, neardup, neighbors
 from reportmill.runtime import table
 
 
@@ -31,5 +31,14 @@ def p5_archetypes(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.relabelled(table(spark, folder, "nuforc_embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes)}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    links, classes = neardup.near_pairs(table(spark, folder, "nuforc_clean"), neardup.LOOSE)
+    return neardup.expanded(links, classes).select(F.col("a").alias("source_id_a"), F.col("b").alias("source_id_b"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "nuforc_clean")).withColumnRenamed("id", "source_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups)}
 SQL: dict[str, str] = {}
