@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import clusters, neardup, neighbors
+from reportmill.llm import clusters, encoding, leakage, neardup, neighbors
 from reportmill.runtime import table
 
 
@@ -40,5 +40,25 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "nuforc_clean")).withColumnRenamed("id", "source_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.where(F.col("longest") >= leakage.LeakParams().min_run).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p9_found, p9_restored)
+}
 SQL: dict[str, str] = {}
