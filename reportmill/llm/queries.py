@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import clusters, encoding, leakage, neardup, neighbors
+from reportmill.llm import clusters, encoding, leakage, neardup, neighbors, places
 from reportmill.runtime import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return places.matched(table(spark, folder, "nuforc"), table(spark, folder, "gazetteer"), table(spark, folder, "state_centroid"))
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """The report on misses: every typed place without a match, with the rows that hold it."""
+    reports = table(spark, folder, "nuforc")
+    missed = p3_found(spark, folder).where("place_id = -1").join(reports.select("row_id", "city", "state"), "row_id")
+    return missed.groupBy("city", "state").agg(F.count("*").alias("n_rows"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     near = neighbors.neighbors(table(spark, folder, "nuforc_embeddings"))
     return near.select(F.least("id", "neighbor").alias("source_id_a"), F.greatest("id", "neighbor").alias("source_id_b")).distinct()
@@ -59,6 +70,6 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p9_found, p9_restored)
+    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p9_found, p9_restored)
 }
 SQL: dict[str, str] = {}
