@@ -202,7 +202,7 @@ def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params:
     listed = gazetteer.where("usps IS NOT NULL AND name IS NOT NULL AND place_id IS NOT NULL").select("place_id", "usps", "name")
     exact = small(listed.groupBy(F.col("usps").alias("state"), F.col("name").alias("city")).agg(F.min("place_id").alias("place_id")))
     often = rows.join(exact, ["state", "city"]).groupBy("place_id").agg(F.count("*").alias("freq"))
-    typed = rows.join(exact, ["state", "city"], "left_anti")
+    typed = rows.join(exact, ["state", "city"], "left_anti").select("row_id", "city", "state")
     names = [(r.state.strip().upper(), r.state_name) for r in states.where("state IS NOT NULL").select("state", "state_name").distinct().collect()]
     schema = "row_id long, state string, weight double, freq long, place long, best double, n long, first long"
 
