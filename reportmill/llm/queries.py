@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm import clusters, encoding, leakage, neardup, neighbors, places
+from reportmill.llm import clusters, encoding, leakage, mixing, neardup, neighbors, places
 from reportmill.runtime import table
 
 
@@ -60,6 +60,14 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -70,6 +78,6 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p9_found, p9_restored)
+    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_restored)
 }
 SQL: dict[str, str] = {}
