@@ -65,33 +65,43 @@ def deletes(word: str, most: int) -> set[str]:
     return out
 
 
-def distance(a: str, b: str) -> tuple[int, float]:
-    """(edits, weighted edits) of the restricted Damerau-Levenshtein distance; the weights are of the alignment by weight.
+def distance(a: str, b: str, most: int = 99) -> tuple[int, float]:
+    """(edits, weighted edits) of the restricted Damerau-Levenshtein distance, of the alignment that weighs least.
+
+    Alignments that shift by more than ``most`` letters are not looked at; they have more edits than that.
 
     A swap weighs 0.8, a dropped or doubled letter or a space 0.7, a vowel for a vowel 0.9, any other edit 1.
     """
     vowels = "aeiouy"
-    rows: list[list[tuple[float, int]]] = [[(0.0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
-    gap = lambda s, k: 0.7 if s[k] == " " or (k and s[k - 1] == s[k]) else 1.0
-    for i in range(1, len(a) + 1):
-        rows[i][0] = (rows[i - 1][0][0] + gap(a, i - 1), i)
-    for j in range(1, len(b) + 1):
-        rows[0][j] = (rows[0][j - 1][0] + gap(b, j - 1), j)
+    far = (float(most + 1), most + 1)
+    gap_a = [0.7 if c == " " or (k and a[k - 1] == c) else 1.0 for k, c in enumerate(a)]
+    gap_b = [0.7 if c == " " or (k and b[k - 1] == c) else 1.0 for k, c in enumerate(b)]
+    last: list[tuple[float, int]] = []
+    row = [(0.0, 0)]
+    for j in range(len(b)):
+        row.append((row[j][0] + gap_b[j], j + 1))
     for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            same = a[i - 1] == b[j - 1]
-            cost = 0.0 if same else 0.9 if a[i - 1] in vowels and b[j - 1] in vowels else 1.0
-            w, n = rows[i - 1][j - 1]
-            best = (w + cost, n + (not same))
-            w, n = rows[i - 1][j]
-            best = min(best, (w + gap(a, i - 1), n + 1))
-            w, n = rows[i][j - 1]
-            best = min(best, (w + gap(b, j - 1), n + 1))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and not same:
-                w, n = rows[i - 2][j - 2]
-                best = min(best, (w + 0.8, n + 1))
-            rows[i][j] = best
-    w, n = rows[-1][-1]
+        before, last = last, row
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        row = [far] * (len(b) + 1)
+        if i <= most:
+            row[0] = (last[0][0] + gap_a[i - 1], i)
+        c = a[i - 1]
+        for j in range(lo, hi + 1):
+            d = b[j - 1]
+            if c == d:
+                best = last[j - 1]
+            else:
+                w, n = last[j - 1]
+                best = (w + (0.9 if c in vowels and d in vowels else 1.0), n + 1)
+                if i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
+                    w, n = before[j - 2]
+                    best = min(best, (w + 0.8, n + 1))
+            w, n = last[j]
+            best = min(best, (w + gap_a[i - 1], n + 1))
+            w, n = row[j - 1]
+            row[j] = min(best, (w + gap_b[j - 1], n + 1))
+    w, n = row[-1]
     return n, w
 
 
@@ -114,7 +124,7 @@ class StateNames:
         if key in self.exact:
             return self.exact[key]
         if len(key) >= 4:
-            near = sorted((distance(key, k), v) for k, v in self.long.items() if abs(len(k) - len(key)) <= 2)
+            near = sorted((distance(key, k, 2), v) for k, v in self.long.items() if abs(len(k) - len(key)) <= 2)
             if near and near[0][0][0] <= (1 if len(key) <= 5 else 2) and (len(near) == 1 or near[1][0] != near[0][0]):
                 return near[0][1]
         return "?"
@@ -168,12 +178,9 @@ class Dictionary:
     def near(self, name: str) -> list[tuple[str, int, float]]:
         """(listed name, edits, weighted edits) of all listed names within the bound (one edit for short names)."""
         most = self.max_edits if len(name) >= 6 else 1 if len(name) >= 4 else 0
-        if name in self.places:
-            out = {name: (0, 0.0)}
-        else:
-            out = {}
-        for c in {c for d in deletes(name, most) for c in self.filed.get(d, ())} - out.keys():
-            n, w = distance(name, c)
+        out: dict[str, tuple[int, float]] = {}
+        for c in {c for d in deletes(name, most) for c in self.filed.get(d, ()) if abs(len(c) - len(name)) <= most}:
+            n, w = distance(name, c, most)
             if n <= most:
                 out[c] = (n, w)
         return [(c, n, w) for c, (n, w) in out.items()]
@@ -182,8 +189,9 @@ class Dictionary:
         """Best in the state (weight, -frequency, place) and best anywhere (weight, number of states, a place there)."""
         inside: tuple[float, int, int] | None = None
         best, where = None, {}
-        for name in names:
-            for c, _, w in self.near(name):
+        listed = [n for n in names if n in self.places]  # a name that is listed as it stands needs no edits
+        for name in listed or names:
+            for c, _, w in [(name, 0, 0.0)] if listed else self.near(name):
                 held = self.places[c]
                 if state in held:
                     inside = min(inside or (9e9, 0, 0), (w, *held[state]))
