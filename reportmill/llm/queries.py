@@ -80,4 +80,21 @@ QUERIES = {
     f.__name__: f
     for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_restored)
 }
-SQL: dict[str, str] = {}
+_VECTORS = "v AS (SELECT source_id, list_transform(any_value(embedding), lambda x: x::DOUBLE) AS v FROM nuforc_embeddings WHERE source_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1), s AS (SELECT a.source_id AS a, b.source_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.source_id <> b.source_id)"
+_WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+
+
+def _runs(table_: str, key: str, text: str, n: int) -> str:
+    return f"(SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS run FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - {n - 1})) AS i FROM (SELECT {key}, {_WORDS.format(text)} AS w FROM {table_}) WHERE len(w) >= {n}))"
+
+
+#: By brute force over all pairs. p4_found is exact as long as one leaf holds all rows, as at the size of the SQL check.
+SQL: dict[str, str] = {
+    "p4_found": f"WITH {_VECTORS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS rn FROM s) SELECT DISTINCT least(a, b) AS source_id_a, greatest(a, b) AS source_id_b FROM r WHERE rn <= 5",
+    "p5_found": f"""WITH RECURSIVE {_VECTORS}, e AS (SELECT a, b FROM s WHERE c >= 0.42), t AS (SELECT source_id AS a, source_id AS b FROM v UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+l AS (SELECT a AS source_id, min(b) AS cluster_key FROM t GROUP BY 1) SELECT cluster_key, source_id FROM l QUALIFY count(*) OVER (PARTITION BY cluster_key) >= 10""",
+    "p6_found": f"""WITH r AS {_runs('nuforc_clean', 'source_id', 'narrative', 3)}, n AS (SELECT source_id, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT a.source_id AS a, b.source_id AS b, count(*) AS c FROM r a JOIN r b ON a.run = b.run AND a.source_id < b.source_id GROUP BY 1, 2)
+SELECT a AS source_id_a, b AS source_id_b FROM c JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b WHERE c >= 0.5 * (x.n + y.n - c)""",
+    "p7_found": f"WITH d AS {_runs('documents', 'doc_id', 'text', 12)}, i AS {_runs('eval_items', 'item_id', 'text', 12)} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
+}
