@@ -26,4 +26,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_unified, p2_found)}
-SQL: dict[str, str] = {}
+_KIND = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END"
+_FIELD = "CASE " + " ".join(f"WHEN regexp_full_match(plain, '{rule}') THEN '{field}'" for field, rule in drift.HEADER_RULES.items()) + " ELSE header END"
+SQL: dict[str, str] = {
+    "p1_found": rf"""WITH e AS (SELECT feed, file_seq, file_id, payload::JSON AS j, unnest(json_keys(payload::JSON)) AS header FROM raw_rows WHERE json_valid(payload)),
+k AS (SELECT *, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS plain, json_type(json_extract(j, '$."' || header || '"')) AS t FROM e),
+h AS (SELECT feed, file_seq, file_id, header, {_FIELD} AS field_name, {_KIND} AS kind FROM k),
+n AS (SELECT file_id, field_name, header, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, header) AS rn FROM h GROUP BY 1, 2, 3),
+m AS (SELECT file_id, field_name, kind, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, kind) AS rn FROM h WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
+ff AS (SELECT n.file_id, n.field_name, n.header, m.kind FROM n LEFT JOIN m ON n.file_id = m.file_id AND n.field_name = m.field_name AND m.rn = 1 WHERE n.rn = 1),
+fo AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY file_seq, file_id) AS prev_id FROM (SELECT DISTINCT feed, file_seq, file_id FROM raw_rows)),
+now AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff USING (file_id) WHERE prev_id IS NOT NULL),
+old AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff ON ff.file_id = fo.prev_id),
+b AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field_name, old.field_name) AS field_name, now.header AS h1, old.header AS h0, now.kind AS k1, old.kind AS k0 FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field_name = old.field_name)
+SELECT file_id, field_name, 'added' AS change_kind FROM b WHERE h0 IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM b WHERE h1 IS NULL
+UNION ALL SELECT file_id, field_name, 'renamed' FROM b WHERE h0 <> h1 UNION ALL SELECT file_id, field_name, 'type_changed' FROM b WHERE k0 <> k1""",
+}
