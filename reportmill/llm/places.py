@@ -170,6 +170,7 @@ class Dictionary:
         for pid, usps, name, freq in places:
             held = self.places.setdefault(plain(name), {})
             held[usps] = min(held.get(usps, (1, 0)), (-freq, pid))
+        self.longest = max(map(len, self.places), default=0)
         self.filed: dict[str, list[str]] = {}
         for name in self.places:
             for d in deletes(name, max_edits):
@@ -178,6 +179,8 @@ class Dictionary:
     def near(self, name: str) -> list[tuple[str, int, float]]:
         """(listed name, edits, weighted edits) of all listed names within the bound (one edit for short names)."""
         most = self.max_edits if len(name) >= 6 else 1 if len(name) >= 4 else 0
+        if len(name) > self.longest + most:
+            return []  # too long for any listed name; its deletes would be too many
         out: dict[str, tuple[int, float]] = {}
         for c in {c for d in deletes(name, most) for c in self.filed.get(d, ()) if abs(len(c) - len(name)) <= most}:
             n, w = distance(name, c, most)
