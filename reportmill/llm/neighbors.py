@@ -36,8 +36,8 @@ class NeighborParams:
     max_leaves: int = 4096  #: bound of the tree, hence of its broadcast (4,096 leaves of 384 floats: 7 MB)
     branching: int = 8
     sample_rows: int = 32_768  #: bound of the rows the tree is fitted on
-    queries: int = 256  #: calibration queries
-    recall: float = 0.99  #: share of the calibration queries' true neighbours that must lie in visited leaves
+    queries: int = 512  #: calibration queries
+    recall: float = 0.997  #: share of the calibration queries' true neighbours that must lie in visited leaves
     max_visits: int = 32
     block_rows: int = 4096
     seed: int = 42
@@ -159,8 +159,9 @@ def _calibrated(base: DataFrame, tree: Tree, n: int, p: NeighborParams) -> float
         q, j = np.nonzero(best > -2)
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, j].astype(np.float64)), pa.array(leaf[q, j])], ["q", "sim", "leaf"])
 
+    # the first is the query itself
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "leaf")
-    true = base.select("vec").mapInArrow(search, "q int, sim double, leaf long").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
+    true = base.select("vec").mapInArrow(search, "q int, sim double, leaf long").withColumn("r", F.row_number().over(w)).where(F.col("r").between(2, k)).collect()
     leaves, scores = visits(tree, queries, p.max_visits)
     needed = []
     for t in true:
