@@ -29,6 +29,17 @@ STATE_CODES = (
     "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC",
 )
 
+#: What is taken off a typed city, in order (pattern, replacement), off a gazetteer name, and what names often lack.
+CITY_RULES = (
+    (r"\s*\([^)]*\)\s*", " "),
+    (r"^(north|south|east|west|n\.|s\.|e\.|w\.)\s+", ""),
+    (r"^st\.?\s+", "saint "),
+    (r",\s*[a-z]{2}$", ""),
+)
+CENSUS_SUFFIX = r"\s+(city|town|cdp|village|borough|township|plantation|municipality|charter township|metro township)$"
+LEADING_WORD = r"^(north|south|east|west|new|old|upper|lower|mount|mt\.?|fort|ft\.?)\s+"
+TRAILING_WORD = r"\s+(heights|hills|beach|springs|park|lake|landing|junction|center|centre)$"
+
 
 @pandas_udf(StringType())
 def unescape_twice(texts: pd.Series) -> pd.Series:
@@ -71,25 +82,17 @@ def code(raw: Column, upper: bool = True) -> Column:
 
 def normalize_city(raw: Column, saints: bool = True) -> Column:
     """A typed city for the gazetteer: lower case, no notes in brackets, no leading direction, St. as saint, no trailing state."""
-    s = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    s = F.trim(F.regexp_replace(s, r"\s*\([^)]*\)\s*", " "))
-    s = F.regexp_replace(s, r"^(north|south|east|west|n\.|s\.|e\.|w\.)\s+", "")
-    if saints:
-        s = F.regexp_replace(s, r"^st\.?\s+", "saint ")
-    return F.trim(F.regexp_replace(s, r",\s*[a-z]{2}$", ""))
+    rules = [r for r in CITY_RULES if saints or r[1] != "saint "]
+    return reduce(lambda s, r: F.trim(F.regexp_replace(s, *r)), rules, F.lower(F.trim(F.coalesce(raw, F.lit("")))))
 
 
 def gazetteer_name(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(raw), r"\s+(city|town|cdp|village|borough|township|plantation|municipality|charter township|metro township)$", ""))
+    return F.trim(F.regexp_replace(F.lower(raw), CENSUS_SUFFIX, ""))
 
 
 def city_variants(city: Column) -> list[Column]:
     """The city, the city without a leading, and without a trailing, word that names often lack."""
-    return [
-        F.trim(city),
-        F.trim(F.regexp_replace(city, r"^(north|south|east|west|new|old|upper|lower|mount|mt\.?|fort|ft\.?)\s+", "")),
-        F.trim(F.regexp_replace(city, r"\s+(heights|hills|beach|springs|park|lake|landing|junction|center|centre)$", "")),
-    ]
+    return [F.trim(city), F.trim(F.regexp_replace(city, LEADING_WORD, "")), F.trim(F.regexp_replace(city, TRAILING_WORD, ""))]
 
 
 def tokens(text: Column, stop: list[str]) -> Column:
