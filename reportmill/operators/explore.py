@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,44 @@ def flattened(df: DataFrame, key: str, json: str, most: int = 40) -> DataFrame:
     deep = first.select(key, F.explode(F.when(F.size(inner) > 0, F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("a", F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))).otherwise(F.array(F.struct(F.col("a").alias("path"), F.col("v").alias("value"))))).alias("x"))
     w = Window.partitionBy(key).orderBy("x.path")
     return deep.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select(key, "x.path", "x.value")
+
+
+#: Name, first and last year of the eras a year may belong to; the first that holds it counts.
+ERAS = (("Saucer era", 1947, 1965), ("Abduction era", 1965, 1985), ("Triangle era", 1982, 2000), ("Orange-orb era", 2005, 2020), ("Post-disclosure", 2017, 2024))
+
+
+def era(year: Column) -> Column:
+    """The first era that holds a year, else null."""
+    return reduce(lambda rest, e: F.when(year.between(e[1], e[2]), e[0]).otherwise(rest), reversed(ERAS), F.lit(None).cast("string"))
+
+
+def leading_number(text: Column) -> Column:
+    """The whole number a text begins with, as in 2014x, else null."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
+def first_and_peak(rated: DataFrame) -> DataFrame:
+    """(term, first_bin, peak_bin, lowest, highest): first bin with a rate above zero, bin of the highest rate (ties: earliest), range."""
+    return rated.groupBy("term").agg(
+        F.min(F.when(F.col("rate_per_1k") > 0, F.col("time_bin"))).alias("first_bin"), F.max_by("time_bin", F.struct("rate_per_1k", -F.col("time_bin"))).alias("peak_bin"),
+        F.min("rate_per_1k").alias("lowest"), F.max("rate_per_1k").alias("highest"),
+    )
+
+
+def scaled(counts_: DataFrame, value: str) -> DataFrame:
+    """``counts_`` with the value as a share of the largest, at most 1."""
+    return counts_.withColumn("scaled", F.round(F.least(F.col(value) / F.max(value).over(Window.partitionBy()), F.lit(1.0)), 4))
+
+
+def yearly(reports: DataFrame, marks: DataFrame, least: int = 0) -> DataFrame:
+    """(event_year, n_reports, n_marks): years with the number of marks (event_year) that fall in each, zero where none does."""
+    m = marks.groupBy("event_year").agg(F.count("*").alias("n_marks"))
+    return counts(reports, "event_year").where(F.col("n_reports") >= least).join(m, "event_year", "left").na.fill(0, ["n_marks"])
+
+
+def detections(matrix: DataFrame) -> DataFrame:
+    """(kind, n_events, each method's hits): totals per kind of event and, with a null kind, over all."""
+    return matrix.rollup("kind").agg(
+        F.count("*").alias("n_events"), F.count_if(F.col("cluster_count") > 0).alias("by_cluster"), F.count_if(F.col("flap_count") > 0).alias("by_flap"),
+        F.count_if(F.col("sig_phrases_matched") > 0).alias("by_phrase"), F.count_if("shape_matches").alias("by_shape"),
+    )

@@ -37,10 +37,11 @@ def query(sql: str | None = None, dates: tuple[str, ...] = (), times: tuple[str,
             return f(spark, folder).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in dates} | {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
 
         QUERIES[f.__name__] = as_text
+        as_text.__wrapped__ = f
         if sql:
             forms = [f"strftime(\"{c}\", '%Y-%m-%d') AS \"{c}\"" for c in dates] + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in times]
             SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(forms)}) FROM ({sql})" if forms else sql
-        return f
+        return as_text
 
     return register
 
@@ -176,6 +177,33 @@ def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
     return explore.flattened(table(spark, folder, "events"), "event_id", "props")
 
 
+@query(f"WITH {_MERGED} SELECT term, min(time_bin) FILTER (rate_per_1k > 0) AS first_bin, arg_max(time_bin, rate_per_1k * 100000 - time_bin / 100000) AS peak_bin, min(rate_per_1k) AS lowest, max(rate_per_1k) AS highest FROM merged GROUP BY 1")
+def vocab_first_and_peak(spark: SparkSession, folder: str) -> DataFrame:
+    return explore.first_and_peak(vocab_merged(spark, folder))
+
+
+@query(f"""WITH {R}, e(era, a, b) AS {_values(list(explore.ERAS))}, y AS (SELECT event_year, count(*) AS n FROM reports WHERE event_year IS NOT NULL GROUP BY 1),
+m AS (SELECT event_year, n, (SELECT arg_min(era, a) FROM e WHERE event_year BETWEEN a AND b) AS era FROM y) SELECT era, cast(sum(n) AS BIGINT) AS n_reports FROM m GROUP BY 1""")
+def era_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return reports(spark, folder).where("event_year IS NOT NULL").groupBy(explore.era(F.col("event_year")).alias("era")).agg(F.count("*").alias("n_reports"))
+
+
+@query(r"""SELECT * FROM (SELECT row_id, try_cast(regexp_extract(duration_hours, '^\s*([+-]?\d+)', 1) AS INT) AS number FROM nuforc) WHERE number IS NOT NULL""")
+def leading_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nuforc").select("row_id", explore.leading_number(F.col("duration_hours")).alias("number")).where("number IS NOT NULL")
+
+
+@query(f"WITH {R}, c AS (SELECT state, count(*) AS n_reports FROM reports WHERE state <> '' GROUP BY 1) SELECT state, n_reports, round(least(n_reports / max(n_reports) OVER (), 1), 4) AS scaled FROM c")
+def state_bubbles(spark: SparkSession, folder: str) -> DataFrame:
+    return explore.scaled(explore.counts(reports(spark, folder).where("state <> ''"), "state"), "n_reports")
+
+
+@query()
+def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A seeded sample of exact size, the feature itself; DuckDB has no equal hash."""
+    return explore.sampled(reports(spark, folder), 100).select("source_id", "event_year", "state")
+
+
 # --- acquisition and cleaning ---
 
 _PARSED = r"""p AS (SELECT *, regexp_replace(trim(datetime), '\s+(Local|Pacific|Eastern|Central|Mountain|UTC)$', '') AS s FROM nuforc),
@@ -352,6 +380,13 @@ def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
     return flaps.threshold_grid(_rows(spark, folder), [3.0, 10.0, 20.0, 40.0], LOW)
 
 
+@query(f"""WITH {_INSIDE}, t AS (SELECT year(peak_date) AS event_year, count(*) AS n FROM en GROUP BY 1) SELECT r.event_year, r.n_reports, coalesce(t.n, 0) AS n_marks
+FROM (SELECT event_year, count(*) AS n_reports FROM reports WHERE event_year IS NOT NULL GROUP BY 1) r LEFT JOIN t USING (event_year)""")
+def year_marks(spark: SparkSession, folder: str) -> DataFrame:
+    marks = flap_enriched.__wrapped__(spark, folder).select(F.year("peak_date").alias("event_year"))
+    return explore.yearly(reports(spark, folder), marks)
+
+
 # --- events and cross-reference ---
 
 _EVENTS = "ev AS (SELECT event, cast(a AS DATE) AS e0, cast(b AS DATE) AS e1, CASE WHEN st = '' THEN NULL ELSE string_split(st, ' ') END AS states, expected, kind FROM " + _values([(e[0], e[1], e[2], " ".join(e[3] or []), e[4], e[6]) for e in events.CATALOG]) + " t(event, a, b, st, expected, kind))"
@@ -383,6 +418,11 @@ def event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return events.matrix(rep, cat, night, flaps.enriched(_rows(spark, folder), _islands(spark, folder)), found)
 
 
+@query()
+def event_detections(spark: SparkSession, folder: str) -> DataFrame:
+    return explore.detections(event_matrix(spark, folder))
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """A second dated and located dataset: urgent orders, in the state their customer number falls on."""
     states = table(spark, folder, "state_centroid").select("state", (F.row_number().over(Window.orderBy("state")) - 1).alias("k"))
