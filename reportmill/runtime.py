@@ -69,6 +69,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores dealt out to all of them, for work in Python; a larger scan is left as it is.
+
+    Only the layout changes. Meant for scans: nothing runs to find their number of partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffled join results)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
