@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportmill.runtime import materialize, small
+from reportmill.runtime import materialize, small, spread
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,7 @@ def mix(documents: DataFrame, targets: DataFrame, params: MixParams = MixParams(
     shares = {s: float(a or 0) for s, (a, r) in aims.items() if (a or 0) > 0 and (r or 0) > 0}
     repeats = {s: int(aims[s][1]) for s in shares}
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").where(F.col("source").isin(list(shares)) & (F.trim("text") != "") & F.col("doc_id").isNotNull())
-    counted = materialize(token_counts(texts, p.tokenizer).where("tokens > 0"), "tokens")
+    counted = materialize(token_counts(spread(texts), p.tokenizer).where("tokens > 0"), "tokens")
     per_source = counted.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     # at most one entry per targeted source
     classes = per_source.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("held"), F.max("tokens").alias("tokens"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportmill.runtime import small
+from reportmill.runtime import small, spread
 
 #: Customary abbreviations of states (letters only) and words around a name that are not part of it.
 STATE_ABBREVIATIONS = {
@@ -209,7 +209,7 @@ class Dictionary:
 def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params: PlaceParams = PlaceParams()) -> DataFrame:
     """(row_id, place_id): the place meant by every report whose city is no exact match, -1 where there is none."""
     p, spark = params, reports.sparkSession
-    rows = reports.select("row_id", "city", "state").where("trim(city) <> ''")
+    rows = spread(reports.select("row_id", "city", "state").where("trim(city) <> ''"))
     listed = gazetteer.where("usps IS NOT NULL AND name IS NOT NULL AND place_id IS NOT NULL").select("place_id", "usps", "name")
     exact = small(listed.groupBy(F.col("usps").alias("state"), F.col("name").alias("city")).agg(F.min("place_id").alias("place_id")))
     often = rows.join(exact, ["state", "city"]).groupBy("place_id").agg(F.count("*").alias("freq"))
