@@ -65,7 +65,11 @@ def clean_narrative(raw: Column) -> Column:
 
     Only texts with an ampersand matter to the Python step; all others pass through it unchanged.
     """
-    return without_notes(collapsed(unescape_twice(F.coalesce(raw, F.lit("")))))
+    plain = unescape_twice(F.coalesce(raw, F.lit("")))
+    flat, low = collapsed(plain), F.lower(plain)
+    # every note ends in PD or begins with the name of the office; other texts need no look at the nine patterns
+    marked = F.contains(low, F.lit("pd")) | F.contains(low, F.lit("nuforc"))
+    return F.when(marked, without_notes(flat)).otherwise(F.regexp_replace(flat, r"(?U)^\s+|\s+$", ""))
 
 
 def clean_shape(raw: Column) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import dates
 from reportmill.params import DEFAULT, Params
 
+try:
+    from re import _parser
+except ImportError:  # before Python 3.11
+    import sre_parse as _parser
+
 #: The default vocabulary, a pattern per term, matched against the lower-cased narrative.
 VOCABULARY = {
     "flying saucer": r"\bflying saucer", "saucer": r"\bsaucer\b", "disc/disk": r"\bdi(?:sc|sk)\b", "cigar": r"\bcigar\b", "triangle": r"\btriangle\b",
@@ -29,6 +35,32 @@ VOCABULARY = {
 MERGED = {"tic-tac": ("tic-tac", "tic tac"), "triangle/triangular": ("triangle", "triangular")}
 
 
+def needed(pattern: str) -> str:
+    """The longest literal that every match of a pattern holds, from the pattern's outermost parts; empty if there is none.
+
+    Patterns with flags, and what only another dialect understands, have none.
+    """
+    try:
+        parsed = _parser.parse(pattern)
+    except re.error:
+        return ""
+    if parsed.state.flags & ~re.UNICODE:
+        return ""
+    runs, run = [""], ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+        else:
+            runs.append(run)
+            run = ""
+    return max(runs, key=len)
+
+
+def holds(text: Column, pattern: str) -> Column:
+    """Whether a text matches; the regular expression runs only on texts that hold the pattern's literal."""
+    return F.contains(text, F.lit(needed(pattern))) & text.rlike(pattern)
+
+
 def rates(reports: DataFrame, vocabulary: dict[str, str] = VOCABULARY, params: Params = DEFAULT) -> DataFrame:
     """(time_bin, term, hits, narratives, rate_per_1k): one scan counts all terms per bin; terms never met are left out.
 
@@ -37,7 +69,7 @@ def rates(reports: DataFrame, vocabulary: dict[str, str] = VOCABULARY, params: P
     """
     rows = reports.where(F.col("event_year") >= params.vocab_first_year).where("narrative IS NOT NULL")
     rows = rows.select(dates.year_bin(F.col("event_year"), params.vocab_bin).alias("time_bin"), F.lower("narrative").alias("t"))
-    hits = [F.sum(F.col("t").rlike(p).cast("int")).alias(f"h{k}") for k, p in enumerate(vocabulary.values())]
+    hits = [F.sum(holds(F.col("t"), p).cast("int")).alias(f"h{k}") for k, p in enumerate(vocabulary.values())]
     bins = rows.groupBy("time_bin").agg(F.count("*").alias("narratives"), *hits)
     pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"h{k}").alias("hits")) for k, t in enumerate(vocabulary)])
     long = bins.select("time_bin", "narratives", F.explode(pairs).alias("x")).select("time_bin", "x.term", "x.hits", "narratives")

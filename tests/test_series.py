@@ -125,3 +125,9 @@ def test_vocabulary_merges_add_rates(spark):
     got = {(x.time_bin, x.term): x.rate_per_1k for x in vocab.merged(r).collect()}
     assert got[2000, "tic-tac"] == 1000.0 and got[2000, "triangle/triangular"] == 1000.0 and got[2010, "tic-tac"] == 0.0
     assert {x.term: x.peak_bin for x in vocab.peaks(vocab.merged(r)).collect()} == {"tic-tac": 2000, "triangle/triangular": 2000}
+
+
+def test_needed_literals():
+    cases = {r"\bsaucer\b": "saucer", r"\bdi(?:sc|sk)\b": "di", r"a|bc": "", r"(?i)orb": "", r"\bv[- ]?shape": "shape", r"ab?cd": "cd", r"(": ""}
+    got = {p: vocab.needed(p) for p in cases}
+    assert got.pop(r"\bdi(?:sc|sk)\b") in ("di", "dis") and got == {k: v for k, v in cases.items() if not k.startswith(r"\bdi")}
