@@ -1,6 +1,7 @@
 """Texts garbled by a wrong character encoding, found and restored.
 
-Adjacent character pairs are counted over all texts. A pair's worth is its local mutual information, its count times the
+Adjacent character pairs are counted over all texts, copies of a text by the binary digits of their number, without the
+pieces that an inverse mapping explains: a garbled pair gains nothing from how many texts are garbled alike. A pair's worth is its local mutual information, its count times the
 log of how much more often than by chance it occurs, per character of the corpus; pairs worth less than ``usual`` are
 improbable. Maximum-scoring segments (all maximal ones, in linear time) isolate the improbable runs of a text. Only inside
 runs that hold a character outside ASCII inverse mappings are tested: the run's characters go back to bytes by the code
@@ -16,6 +17,7 @@ they are; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,17 +46,55 @@ class EncodingParams:
 
 
 PIECE = re.compile("[^\x00-\x7f]+")
+LEAST_TOTAL = 20_000  # characters
 LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
-def pair_counts(texts: DataFrame, column: str) -> DataFrame:
-    """(pair long, n): how often each pair of adjacent characters occurs in all texts; pair: first code point * 2^21 + second."""
+def _out_of_place(s: str) -> bool:
+    """Whether a capital follows a small letter, Latin letters touch others, or a symbol or number stands between letters."""
+    for x, y in zip(s, s[1:], strict=False):
+        if x.isalpha() and y.isalpha() and (x.islower() and y.isupper() or ("LATIN" in unicodedata.name(x, "")) != ("LATIN" in unicodedata.name(y, ""))):
+            return True
+    return any(x.isalpha() and z.isalpha() and (unicodedata.category(y)[0] in "SCN" or y in "¡§¶¿") for x, y, z in zip(s, s[1:], s[2:], strict=False))
+
+
+def explained(left: str, piece: str, right: str, rounds: int) -> bool:
+    """Whether a piece looks like a garbled one by itself, however often it occurs.
+
+    It is valid UTF-8 by some page, of usual Latin characters and signs or of more bytes than are valid by chance; or it
+    does not stand so inside a word and another one-byte page gives one that does.
+    """
+    for new, more, _ in _utf8_readings(piece, right == " ", rounds):
+        if len(piece) + more - len(new) >= 2 or any(ord(c) < 0x180 or 0x2000 <= ord(c) < 0x2150 for c in new):
+            return True
+    return _out_of_place(left + piece + right) and any(not _out_of_place(left + new + right) for new, _ in _byte_readings(piece))
+
+
+def unexplained(text: str, rounds: int, memo: dict) -> str:
+    """The text with a NUL for each explained piece."""
+    if text.isascii():
+        return text
+
+    def kept(m: re.Match) -> str:
+        a, b = m.span()
+        key = text[a - 1 : a] if a else "", m.group(), text[b : b + 1]
+        if key not in memo:
+            memo[key] = explained(*key, rounds)
+        return "\x00" if memo[key] else key[1]
+
+    return PIECE.sub(kept, text)
+
+
+def pair_counts(texts: DataFrame, column: str, rounds: int = EncodingParams.rounds) -> DataFrame:
+    """(pair long, n): how often each pair of adjacent characters occurs outside explained pieces, copies of a text as said above; pair: first code point * 2^21 + second."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.zeros(128 * 128, np.int64)
         other: dict[int, int] = {}
+        memo: dict[tuple[str, str, str], bool] = {}
         for b in batches:
-            joined = "\x00\x00".join(x for x in b.column(0).to_pylist() if x)
+            memo = memo if len(memo) < 200_000 else {}
+            joined = "\x00\x00".join("\x00\x00".join([unexplained(x, rounds, memo)] * n.bit_length()) for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x)
             code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
             x, y = code[:-1], code[1:]
             low = (x < 128) & (y < 128)
@@ -70,7 +110,7 @@ def pair_counts(texts: DataFrame, column: str) -> DataFrame:
         real = ((keys >> 21) != 0) & ((keys & 0x1FFFFF) != 0)
         yield pa.RecordBatch.from_arrays([pa.array(keys[real]), pa.array(values[real])], ["pair", "n"])
 
-    return texts.select(column).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.groupBy(column).count().mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def model(counts: list[tuple[int, int]], p: EncodingParams) -> tuple[dict, dict]:
@@ -82,7 +122,8 @@ def model(counts: list[tuple[int, int]], p: EncodingParams) -> tuple[dict, dict]
     fa, ia = np.unique(first, return_inverse=True)
     fb, ib = np.unique(second, return_inverse=True)
     na, nb = np.bincount(ia, n, len(fa)), np.bincount(ib, n, len(fb))
-    worth = n * np.maximum(np.log2(n * total / (na[ia] * nb[ib])), 0.05) / total
+    # in a small corpus a pair seen once is not usual yet
+    worth = n * np.maximum(np.log2(n * total / (na[ia] * nb[ib])), 0.05) / max(total, LEAST_TOTAL)
     score = np.clip(np.log2(p.usual / worth), -4, 6)
     # joint probability: rare characters don't gain from being predictable neighbours of each other
     joint = np.log2(n / total)
@@ -175,7 +216,8 @@ def restore(text: str, known: tuple[dict, dict], p: EncodingParams, memo: dict |
                 best = (1.0, None, None, b)
                 for new, how in as_bytes:
                     gain = worth(left + new + right) - worth(left + m.group() + right)
-                    if gain > best[0] and (gain > p.gain or how in used):
+                    # nor does a piece that only so stands rightly inside its word need as much
+                    if gain > best[0] and (gain > p.gain or how in used or gain > p.gain / 2 and _out_of_place(left + m.group() + right) and not _out_of_place(left + new + right)):
                         best = (gain, new, how, b)
             if best[1] is not None:
                 out += [text[at:a], best[1]]
@@ -224,7 +266,7 @@ def garbled(documents: DataFrame, params: EncodingParams = EncodingParams(), key
     """(doc_id, restored, mappings, lost): the garbled documents; lost: characters that cannot be restored."""
     p, spark = params, documents.sparkSession
     texts = spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text")).where("doc_id IS NOT NULL AND text <> ''"))
-    counts = [(r.pair, r.n) for r in pair_counts(texts, "text").orderBy(F.desc("n"), "pair").limit(p.max_pairs).collect()]
+    counts = [(r.pair, r.n) for r in pair_counts(texts, "text", p.rounds).orderBy(F.desc("n"), "pair").limit(p.max_pairs).collect()]
     shared = spark.sparkContext.broadcast(model(counts, p))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,3 +150,15 @@ def test_twice_garbled_lost_and_rightly_rare(spark):
 
 def test_segments_are_the_maximal_ones():
     assert encoding.segments([1, -5, 2, -1, 3, -9, 1]) == [(0, 1), (2, 5), (6, 7)] and encoding.segments([]) == [] and encoding.segments([-1, -2]) == []
+
+
+@pytest.mark.parametrize("alike", ["copies", "desk"])
+@pytest.mark.parametrize("true", ["utf-8", "cp1252"])
+def test_a_third_of_the_rows_garbled_alike(spark, true, alike):
+    rng = random.Random(13)
+    read = lambda s: s.encode(true).decode("cp1252" if true == "utf-8" else "cp850")
+    good = [f"{sentence(rng, 6)}. Él señaló la montaña, {sentence(rng, 3)}, según la señora." for _ in range(80)]
+    bad = [read(good[0] if alike == "copies" else f"{sentence(rng, 6)}. Él señaló la montaña.") for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(good + bad)]
+    got = {r.doc_id for r in encoding.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(80, 120))
