@@ -110,3 +110,14 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a int, b int")).toPandas()
     assert got.node.is_unique and {k: set(g) for k, g in got.groupby("label").node} == {0: set(range(61)), 100: set(range(100, 140)), 200: {200, 201}}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_small_clusters_on_a_grid_with_a_second_rotation(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda n: (g := rng.standard_normal((n, 384))) / np.linalg.norm(g, axis=1, keepdims=True)
+    x = np.concatenate([0.74 * unit(1) + 0.67 * unit(n) for n in (10, 10, 12, 15, 20, 30)] + [unit(1100)])
+    p = ClusterParams(cell_rows=1, portion_rows=400)
+    assert clusters._axes(len(x), p)[1] > 1
+    got = clusters.clusters(frame(spark, x), p).toPandas()
+    assert {tuple(sorted(g)) for _, g in got.groupby("cluster_key").source_id} == brute_clusters(x, 0.42, 10)
+    assert len(set(got.cluster_key)) == 6 and (got.density >= 1).all()
