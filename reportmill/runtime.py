@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a lookup table may be broadcast; beyond, the join is left to the optimizer.
@@ -40,9 +41,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made.
+    Where it is missing, one machine (a local master) gets a temporary folder and a cluster an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = getattr(shared_folder, "local", None) or "file://" + tempfile.mkdtemp(prefix="reportmill-")
         shared_folder.local = root
@@ -78,6 +81,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: its place in the order, from 0. Sorted in ranges; only a count for each range comes to the driver."""
+    parts = df.orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    parts = materialize(parts, "numbered")
+    begin, total = [], 0
+    for r in sorted(parts.groupBy("_part").count().collect()):
+        begin.append((r["_part"], total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(begin, "_part int, _begin long")
+    return parts.join(F.broadcast(starts), "_part").withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffled join results)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
