@@ -1,13 +1,9 @@
 """The k most similar vectors of every vector, through a hierarchical k-means tree.
 
-A tree of spherical k-means splits is fitted on a bounded sample (``sample_rows``), its heaviest node split first, so the
-leaves hold about equal shares of the data however it clusters. Every row is indexed: its home is the first leaf that a
-best-bin-first descent, a priority queue over the nodes, takes from the queue. A query also visits the following leaves
-while their score is within a margin of the best. The margin is widened until, for a stated set of calibration queries
-compared with all rows in blocks, the visited leaves hold the wanted share of the true neighbours.
-
-Rows travel once per visited leaf as 16-bit vectors; equal vectors are searched once and expanded afterwards; a leaf
-with more rows than ``block_rows`` is split into blocks, each visited by the leaf's queries.
+Every row is indexed in the leaf that a best-bin-first descent takes first (``tree``), and asks in every further leaf within
+a margin calibrated against brute force; there is no bound on the visits. Rows travel once per visited leaf as 16-bit
+vectors; equal vectors are searched once and expanded afterwards; of a heavy leaf every pair of blocks of home rows and
+asking rows is a group of its own.
 
 Defined results: repeated rows count once; ids whose vector is null, empty, zero, not finite or of another length than
 most have no neighbours; ties go to the smaller id; with fewer than k+1 usable ids all others are neighbours; an empty
@@ -16,211 +12,56 @@ table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportmill.llm.vectors import bounded_sample, matrix, pack, unpack, usable
+from reportmill.llm import tree
+from reportmill.llm.tree import TreeParams
+from reportmill.llm.vectors import unpack, usable
 from reportmill.runtime import materialize
 
 
 @dataclass(frozen=True)
 class NeighborParams:
     k: int = 5
-    leaf_rows: int = 512  #: rows a leaf should hold
-    max_leaves: int = 4096  #: bound of the tree, hence of its broadcast (4,096 leaves of 384 floats: 7 MB)
-    branching: int = 8
-    sample_rows: int = 32_768  #: bound of the rows the tree is fitted on
-    queries: int = 512  #: calibration queries
-    recall: float = 0.997  #: share of the calibration queries' true neighbours that must lie in visited leaves
-    max_visits: int = 32
-    block_rows: int = 4096
-    seed: int = 42
-
-
-#: A tree as plain arrays, so that it can be broadcast: unit centers (node 0 is the root), child numbers per node (none for
-#: a leaf), share of the sample per node.
-Tree = tuple[np.ndarray, list[list[int]], np.ndarray]
-
-
-def visits(tree: Tree, unit: np.ndarray, most: int, margin: float = np.inf) -> tuple[list[list[int]], list[list[float]]]:
-    """Leaves per row in best-bin-first order with their scores: at most ``most``, within ``margin`` of the best.
-
-    A leaf's priority is its cosine, that of an inner node the best priority below it, the tightest bound there is.
-    """
-    centers, children, _ = tree
-    scores = unit @ centers.T
-    for node in range(len(children) - 1, -1, -1):
-        if children[node]:
-            scores[:, node] = scores[:, children[node]].max(axis=1)
-    out, values = [], []
-    for row in scores:
-        got = row.tolist()
-        heap = [(-got[c], c) for c in children[0]] or [(0.0, 0)]
-        heapq.heapify(heap)
-        leaves, at, best = [], [], -np.inf
-        while heap and len(leaves) < most:
-            s, node = heapq.heappop(heap)
-            if -s < best - margin:
-                break
-            if children[node]:
-                for c in children[node]:
-                    heapq.heappush(heap, (-got[c], c))
-            else:
-                leaves.append(node)
-                at.append(-s)
-                best = max(best, -s)
-        out.append(leaves)
-        values.append(at)
-    return out, values
-
-
-def _kmeans(unit: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    """Group number of each row under spherical k-means, seeded by distance-weighted draws."""
-    centers = [unit[rng.integers(len(unit))]]
-    far = 1 - unit @ centers[0]
-    for _ in range(1, k):
-        w = np.maximum(far, 0)
-        if w.sum() <= 1e-9:
-            break
-        centers.append(unit[rng.choice(len(unit), p=w / w.sum())])
-        far = np.minimum(far, 1 - unit @ centers[-1])
-    c = np.array(centers)
-    for _ in range(rounds):
-        group = (unit @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, group, unit)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
-    return (unit @ c.T).argmax(axis=1)
-
+    tree: TreeParams = field(default_factory=TreeParams)
 
-def fit(sample: np.ndarray, leaves: int, p: NeighborParams) -> Tree:
-    """A tree of about ``leaves`` leaves; the node with most sample rows is split next."""
-    rng = np.random.default_rng(p.seed)
-    center = lambda rows: (m := sample[rows].mean(axis=0)) / max(float(np.linalg.norm(m)), 1e-9)
-    everything = np.arange(len(sample))
-    centers, children, weight = [center(everything)], [[]], [1.0]
-    heap, n = [(-len(sample), 0, everything)], 1
-    while heap and n < leaves:
-        size, node, rows = heapq.heappop(heap)
-        if -size < 2 * p.branching:
-            break
-        group = _kmeans(sample[rows], p.branching, rng)
-        parts = [rows[group == g] for g in np.unique(group)]
-        if len(parts) < 2:
-            continue
-        for part in parts:
-            children[node].append(len(centers))
-            heapq.heappush(heap, (-len(part), len(centers), part))
-            centers.append(center(part))
-            children.append([])
-            weight.append(len(part) / len(sample))
-        n += len(parts) - 1
-    return np.array(centers, np.float32), children, np.array(weight)
 
+def indexed(df: DataFrame, params: NeighborParams = NeighborParams(), key: str = "source_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, tree.Index | None]:
+    """(single vectors (id, vec), copies (id, rep), their index or None if there is no usable row)."""
+    base = usable(df, key, vector)
+    copies = materialize(tree.copies(base), "copies")
+    single = base.join(copies.select("id"), "id", "left_anti")
+    return single, copies, tree.build(single, base.count(), params.tree, params.k)
 
-def _copies(base: DataFrame) -> DataFrame:
-    """(id, rep): ids whose vector is equal to that of a smaller id; rep is the smallest. Only hashes and ids are shuffled."""
-    h = base.select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
-    shared = h.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    return h.join(shared, ["h1", "h2"]).where("id <> rep").select("id", "rep").distinct()
-
-
-def _calibrated(base: DataFrame, tree: Tree, n: int, p: NeighborParams) -> float:
-    """The margin at which the calibration queries' visited leaves hold the wanted share of their true neighbours."""
-    queries = bounded_sample(base, n, p.queries, p.seed + 1)
-    sc = base.sparkSession.sparkContext
-    shared = sc.broadcast((queries, tree))
-    k = p.k + 1  # a query finds itself
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, tree = shared.value
-        best = np.full((len(queries), k), -2.0, np.float32)
-        leaf = np.zeros((len(queries), k), np.int64)
-        for b in batches:
-            _, unit = matrix(b.column(0))
-            if not len(unit) or unit.shape[1] != queries.shape[1]:
-                continue
-            sims = queries @ unit.T
-            take = np.argpartition(-sims, min(k, sims.shape[1] - 1), axis=1)[:, :k]
-            new = np.take_along_axis(sims, take, axis=1)
-            rows = np.unique(take[new > best[:, -1:]])
-            home = np.zeros(len(unit), np.int64)
-            home[rows] = [v[0] for v in visits(tree, unit[rows], 1)[0]]
-            both, where = np.concatenate([best, new], axis=1), np.concatenate([leaf, home[take]], axis=1)
-            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best, leaf = np.take_along_axis(both, order, axis=1), np.take_along_axis(where, order, axis=1)
-        q, j = np.nonzero(best > -2)
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, j].astype(np.float64)), pa.array(leaf[q, j])], ["q", "sim", "leaf"])
 
-    # the first is the query itself
-    w = Window.partitionBy("q").orderBy(F.desc("sim"), "leaf")
-    true = base.select("vec").mapInArrow(search, "q int, sim double, leaf long").withColumn("r", F.row_number().over(w)).where(F.col("r").between(2, k)).collect()
-    leaves, scores = visits(tree, queries, p.max_visits)
-    needed = []
-    for t in true:
-        gap = [scores[t.q][0] - s for v, s in zip(leaves[t.q], scores[t.q], strict=True) if v == t.leaf]
-        needed.append(gap[0] if gap else np.inf)
-    if not needed:
-        return 0.0
-    margin = float(np.sort(needed)[min(len(needed) - 1, int(np.ceil(p.recall * len(needed))) - 1)])
-    # beyond the most visits no margin helps; then every leaf up to that number is visited
-    return margin + 1e-6 if np.isfinite(margin) else np.inf
+def quality(df: DataFrame, params: NeighborParams = NeighborParams(), key: str = "source_id", vector: str = "embedding") -> DataFrame:
+    """(n_leaves, margin, recall): the index and the share of the calibration queries' true neighbours, found by brute force, in the leaves they visit."""
+    index = indexed(df, params, key, vector)[2]
+    rows = [(len(index.tree.leaves), index.margin, index.recall)] if index else []
+    return df.sparkSession.createDataFrame(rows, "n_leaves int, margin double, recall double")
 
 
 def neighbors(df: DataFrame, params: NeighborParams = NeighborParams(), key: str = "source_id", vector: str = "embedding") -> DataFrame:
     """(id, neighbor, sim): the k most similar other ids of every id."""
-    p = params
-    spark = df.sparkSession
-    base = usable(df, key, vector)
-    n = base.count()
-    copies = materialize(_copies(base), "copies")
-    single = base.join(copies.select("id"), "id", "left_anti")
-    sample = bounded_sample(single, n, p.sample_rows, p.seed)
-    if not len(sample):
-        return spark.createDataFrame([], "id string, neighbor string, sim double")
-    tree = fit(sample, max(1, min(p.max_leaves, n // p.leaf_rows)), p)
-    margin = _calibrated(single, tree, n, p)
-    heavy = {v: w * n for v, (below, w) in enumerate(zip(tree[1], tree[2], strict=True)) if not below and w * n > 1.5 * p.block_rows}
-    blocks = {v: -(-int(rows) // p.block_rows) for v, rows in heavy.items()}
-    shared = spark.sparkContext.broadcast((tree, blocks))
-    k = p.k
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        tree, blocks = shared.value
-        for b in batches:
-            rows, unit = matrix(b.column(1))
-            if not len(unit) or unit.shape[1] != tree[0].shape[1]:
-                continue
-            ids, vec = b.column(0).take(pa.array(rows)), pack(unit, 16)
-            at, leaf, block, home = [], [], [], []
-            for i, (visit, x) in enumerate(zip(visits(tree, unit, p.max_visits, margin)[0], ids, strict=True)):
-                for j, v in enumerate(visit):
-                    m = blocks.get(v, 1)
-                    own = zlib.crc32(x.as_py().encode()) % m if m > 1 else 0
-                    for c in range(m):
-                        at.append(i)
-                        leaf.append(v)
-                        block.append(c)
-                        home.append(j == 0 and c == own)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), pa.array(home), ids.take(take), vec.take(take)], ["leaf", "block", "home", "id", "vec"])
+    k = params.k
+    single, copies, index = indexed(df, params, key, vector)
+    if index is None:
+        return df.sparkSession.createDataFrame([], "id string, neighbor string, sim double")
 
     def search(group: pa.Table) -> pa.Table:
         unit, ids = unpack(group.column("vec"), 16), np.array(group.column("id").to_pylist(), object)
         names, number = np.unique(ids, return_inverse=True)
-        own = np.flatnonzero(group.column("home").to_numpy(zero_copy_only=False))
+        own = np.flatnonzero(group.column("target").to_numpy(zero_copy_only=False))
         _, first = np.unique(number[own], return_index=True)  # repeated rows once
         own = own[first]
-        _, ask = np.unique(number, return_index=True)
+        ask = np.flatnonzero(group.column("ask").to_numpy(zero_copy_only=False))
+        _, first = np.unique(number[ask], return_index=True)
+        ask = ask[first]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(ask) if len(own) else 0, 2048):
             q = ask[at : at + 2048]
@@ -246,9 +87,8 @@ def neighbors(df: DataFrame, params: NeighborParams = NeighborParams(), key: str
         )
         return pa.table({"id": pa.array(names[a[cut]] if len(a) else [], pa.string()), "near": lists})
 
-    placed = single.mapInArrow(route, "leaf int, block int, home boolean, id string, vec binary")
-    each = placed.groupBy("leaf", "block").applyInArrow(search, "id string, near array<struct<far:double,neighbor:string>>")
-    best = each.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most max_visits * blocks lists of k
+    each = tree.routed(single, index).groupBy("leaf", "home_block", "ask_block").applyInArrow(search, "id string, near array<struct<far:double,neighbor:string>>")
+    best = each.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # a list of k for every group a row asks in
     found = best.select("id", F.explode(F.slice(F.array_sort(F.array_distinct("near")), 1, k)).alias("x")).select("id", "x.neighbor", (-F.col("x.far")).alias("sim"))
     return _expanded(found, copies, k)
 

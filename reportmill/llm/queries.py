@@ -29,6 +29,11 @@ def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.neighbors(table(spark, folder, "nuforc_embeddings")).select(F.col("id").alias("source_id"), "neighbor", F.round("sim", 4).alias("cosine"))
 
 
+def p4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The index and its recall against brute force."""
+    return neighbors.quality(table(spark, folder, "nuforc_embeddings"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return clusters.clusters(table(spark, folder, "nuforc_embeddings")).select("cluster_key", "source_id")
 
@@ -78,7 +83,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_restored)
+    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p4_quality, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_restored)
 }
 _VECTORS = "v AS (SELECT source_id, list_transform(any_value(embedding), lambda x: x::DOUBLE) AS v FROM nuforc_embeddings WHERE source_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1), s AS (SELECT a.source_id AS a, b.source_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.source_id <> b.source_id)"
 _WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
