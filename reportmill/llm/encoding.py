@@ -1,14 +1,15 @@
 """Texts garbled by a wrong character encoding, found and restored.
 
-Adjacent character pairs are counted over all texts, copies of a text by the binary digits of their number, without the
-pieces that an inverse mapping explains: a garbled pair gains nothing from how many texts are garbled alike. A pair's worth is its local mutual information, its count times the
-log of how much more often than by chance it occurs, per character of the corpus; pairs worth less than ``usual`` are
-improbable. Maximum-scoring segments (all maximal ones, in linear time) isolate the improbable runs of a text. Only inside
-runs that hold a character outside ASCII inverse mappings are tested: the run's characters go back to bytes by the code
+Adjacent character pairs are counted over all texts, copies of a text outside ASCII by the binary digits of their number,
+without the pieces that an inverse mapping explains and without marks of lost characters: a garbled pair gains nothing
+from how many texts are garbled alike. A pair's worth is its local mutual information, its probability times the log of how
+much more often than by chance it occurs; pairs worth less than ``usual`` are improbable. Maximum-scoring segments (all
+maximal ones, in linear time) isolate the improbable runs of a text; pairs of two ASCII characters, which no mapping
+changes, part them. Only inside such runs inverse mappings are tested: the run's characters go back to bytes by the code
 page they may have been read with and are decoded by the right one. A mapping is accepted if the bytes are valid and the
 pairs of the restored text are more probable in the corpus by ``gain`` bits.
 
-A replacement character or a stray C1 control marks text that cannot be restored; such texts are reported too.
+A replacement character or a stray C1 control inside a run marks text that cannot be restored; such texts are reported too.
 
 Defined results: a null or empty text and one of plain ASCII is not garbled; rightly decoded rare characters are left as
 they are; extra columns are ignored; an empty table gives no rows.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportmill.runtime import spread
+from reportmill.runtime import materialize, small, spread
 
 #: Code pages a UTF-8 text may have been read with, and (read with, written in) pairs of one-byte pages.
 UTF8_READ_AS = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_15", "cp1254", "koi8_r", "cp866")
@@ -38,15 +39,15 @@ BYTE_PAIRS = (
 
 @dataclass(frozen=True)
 class EncodingParams:
-    usual: float = 2e-3  #: local mutual information per character from which a pair is not improbable; garbled pairs that recur reach 1e-3
+    usual: float = 5e-5  #: local mutual information from which a pair is not improbable; most rightly decoded pieces then lie outside the runs
     gain: float = 5.0  #: bits by which restored pairs must be more probable
     rounds: int = 3  #: layers of wrong decoding undone
-    max_pairs: int = 2_000_000  #: pairs kept as known, the most frequent ones; rarer ones count as unseen
+    floor_bits: int = 22  #: pairs of a probability under 2^-floor_bits count as unseen; so at most 2^floor_bits pairs are known, however many texts
     reach: int = 1  #: characters of context on either side
 
 
 PIECE = re.compile("[^\x00-\x7f]+")
-LEAST_TOTAL = 20_000  # characters
+SEEN_ONCE = 40.0  # in a corpus of fewer pairs than this over ``usual`` a pair seen once is not usual yet
 LOST = re.compile("[\x80-\x84\x86-\x9f�]")
 
 
@@ -77,6 +78,8 @@ def unexplained(text: str, rounds: int, memo: dict) -> str:
 
     def kept(m: re.Match) -> str:
         a, b = m.span()
+        if LOST.search(m.group()):
+            return "\x00"
         key = text[a - 1 : a] if a else "", m.group(), text[b : b + 1]
         if key not in memo:
             memo[key] = explained(*key, rounds)
@@ -86,7 +89,7 @@ def unexplained(text: str, rounds: int, memo: dict) -> str:
 
 
 def pair_counts(texts: DataFrame, column: str, rounds: int = EncodingParams.rounds) -> DataFrame:
-    """(pair long, n): how often each pair of adjacent characters occurs outside explained pieces, copies of a text as said above; pair: first code point * 2^21 + second."""
+    """(first int, second int, n): how often code points are adjacent, outside explained pieces, copies of a text as said above."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = np.zeros(128 * 128, np.int64)
@@ -107,28 +110,76 @@ def pair_counts(texts: DataFrame, column: str, rounds: int = EncodingParams.roun
         at = np.flatnonzero(plain)
         keys = np.concatenate([((at // 128) << 21) | (at % 128), np.fromiter(other.keys(), np.int64, len(other))])
         values = np.concatenate([plain[at], np.fromiter(other.values(), np.int64, len(other))])
-        real = ((keys >> 21) != 0) & ((keys & 0x1FFFFF) != 0)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[real]), pa.array(values[real])], ["pair", "n"])
-
-    return texts.groupBy(column).count().mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def model(counts: list[tuple[int, int]], p: EncodingParams) -> tuple[dict, dict]:
-    """(improbability score per pair, log2 probability of the second character after the first per pair) from counts."""
-    pair = np.array([k for k, _ in counts], np.int64)
-    n = np.array([c for _, c in counts], np.float64)
-    first, second = pair >> 21, pair & 0x1FFFFF
-    total = max(n.sum(), 1.0)
-    fa, ia = np.unique(first, return_inverse=True)
-    fb, ib = np.unique(second, return_inverse=True)
-    na, nb = np.bincount(ia, n, len(fa)), np.bincount(ib, n, len(fb))
-    # in a small corpus a pair seen once is not usual yet
-    worth = n * np.maximum(np.log2(n * total / (na[ia] * nb[ib])), 0.05) / max(total, LEAST_TOTAL)
-    score = np.clip(np.log2(p.usual / worth), -4, 6)
-    # joint probability: rare characters don't gain from being predictable neighbours of each other
-    joint = np.log2(n / total)
-    keys = pair.tolist()
-    return dict(zip(keys, score.tolist(), strict=True)), dict(zip(keys, joint.tolist(), strict=True)) | {-1: float(-np.log2(total)) - 2}
+        first, second = keys >> 21, keys & 0x1FFFFF
+        real = (first != 0) & (second != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(first[real].astype(np.int32)), pa.array(second[real].astype(np.int32)), pa.array(values[real])], ["first", "second", "n"])
+
+    ascii_only = ~F.col(column).rlike("[^\\x00-\\x7f]")
+    once = texts.where(~ascii_only).groupBy(column).count().union(texts.where(ascii_only).select(column, F.lit(1).cast("long")))
+    return once.mapInArrow(count, "first int, second int, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Known pairs with a character outside ASCII, sorted: pair (first code point * 2^21 + second), how improbable, log2 of the probability."""
+
+    pair: np.ndarray
+    score: np.ndarray
+    joint: np.ndarray
+    unseen: float
+
+    def look(self, pairs: np.ndarray, values: np.ndarray, otherwise: float) -> np.ndarray:
+        if not len(self.pair):
+            return np.full(len(pairs), otherwise)
+        at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+        return np.where(self.pair[at] == pairs, values[at], otherwise)
+
+
+MOST, LEAST = 6.0, -4.0  # bounds of a pair's score
+
+
+def model(counts: DataFrame, p: EncodingParams) -> Model:
+    """What the pairs of at least the floor's probability are worth, with totals and marginals over all pairs."""
+    counts = materialize(counts, "pairs")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    # code points bound the marginals
+    left, right = (small(counts.groupBy(c).agg(F.sum("n").alias(f"n_{c}"))) for c in ("first", "second"))
+    chance = F.log2(F.col("n") * F.lit(float(total)) / (F.col("n_first") * F.col("n_second")))
+    worth = F.col("n") * F.greatest(chance, F.lit(0.05)) / max(total, SEEN_ONCE / p.usual)
+    known = counts.where((F.col("n") >= total / 2.0**p.floor_bits) & ((F.col("first") > 127) | (F.col("second") > 127))).join(left, "first").join(right, "second")
+    rows = known.select((F.col("first").cast("long") * (1 << 21) + F.col("second")).alias("pair"), worth.alias("worth"), F.log2(F.col("n") / total).alias("joint")).toArrow()
+    pair, value, joint = (rows.column(k).to_numpy() for k in range(3))
+    order = np.argsort(pair)
+    score = np.clip(np.log2(p.usual / np.maximum(value, 1e-300)), LEAST, MOST)
+    # a quarter of the rarest known pair
+    return Model(pair[order], score[order], joint[order], -min(p.floor_bits, float(np.log2(total))) - 2)
+
+
+def pair_codes(text: str) -> np.ndarray:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (code[:-1] << 21) | code[1:]
+
+
+def improbable(texts: list[str], known: Model) -> list[list[tuple[int, int]]]:
+    """The improbable runs [start, end) of each text: characters whose pairs make up a maximum-scoring segment."""
+    joined = "".join(f" {t} \x00" for t in texts)  # a text of one character has pairs too
+    pairs = pair_codes(joined)
+    x, y = pairs >> 21, pairs & 0x1FFFFF
+    score = np.full(len(pairs), LEAST)
+    wide = np.flatnonzero((x > 127) | (y > 127))
+    each, at = np.unique(pairs[wide], return_inverse=True)
+    score[wide] = known.look(each, known.score, MOST)[at]
+    score[(x == 0) | (y == 0)] = -1e9  # texts are apart
+    # a stretch of scores of one sign enters or leaves a segment as a whole
+    cut = np.flatnonzero(np.diff(score > 0, prepend=not (len(score) and score[0] > 0)))
+    sums = np.add.reduceat(score, cut) if len(cut) else np.zeros(0)
+    ends = np.append(cut[1:], len(score))
+    starts = np.cumsum([0] + [len(t) + 3 for t in texts])
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for a, b in segments(sums.tolist()):
+        k = int(np.searchsorted(starts, cut[a], "right")) - 1
+        out[k].append((max(0, int(cut[a] - starts[k]) - 1), min(len(texts[k]), int(ends[b - 1] - starts[k]))))
+    return out
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -174,30 +225,31 @@ def _text(data: bytes, page: str) -> str | None:
         return None
 
 
-def restore(text: str, known: tuple[dict, dict], p: EncodingParams, memo: dict | None = None) -> tuple[str, list[str]]:
-    """(text with the garbled runs restored as far as possible, the mappings used); ``memo`` keeps readings by piece between texts."""
-    score, joint = known
+def restore(text: str, known: Model, p: EncodingParams, memo: dict | None = None, runs: list[tuple[int, int]] | None = None) -> tuple[str, list[str], int]:
+    """(text with the garbled runs restored as far as possible, the mappings used, lost characters inside runs).
+
+    ``runs``: the improbable runs, if they are known; ``memo`` keeps readings by piece between texts.
+    """
     memo = {} if memo is None else memo
-    unseen = joint[-1]
     used: list[str] = []
 
     def worth(s: str) -> float:
-        return sum(joint.get((ord(x) << 21) | ord(y), unseen) for x, y in zip(s, s[1:], strict=False))
+        return float(known.look(pair_codes(s), known.joint, known.unseen).sum()) if len(s) > 1 else 0.0
 
     def mean(s: str) -> float:
         return worth(s) / max(len(s) - 1, 1)
 
-    for _ in range(p.rounds):
-        if text.isascii():
+    for turn in range(p.rounds + 1):
+        if runs is None:
+            runs = [] if text.isascii() else improbable([text], known)[0]
+        if turn == p.rounds or not runs:
             break
-        near = [score.get((ord(x) << 21) | ord(y), 6.0) for x, y in zip(text, text[1:], strict=False)]
-        inside = bytearray(len(text))
-        for a, b in segments(near):
-            inside[a : b + 1] = b"\1" * (b + 1 - a)
-        changed, out, at = False, [], 0
+        changed, out, at, k = False, [], 0, 0
         for m in PIECE.finditer(text):
             a, b = m.span()
-            if a < at or not any(inside[a:b]):
+            while k < len(runs) and runs[k][1] <= a:
+                k += 1
+            if a < at or k == len(runs) or runs[k][0] >= b:
                 continue
             left, right = text[max(0, a - p.reach) : a], text[b : b + p.reach]
             best = (0.0, None, None, b)
@@ -225,8 +277,8 @@ def restore(text: str, known: tuple[dict, dict], p: EncodingParams, memo: dict |
                 used.append(best[2])
         if not changed:
             break
-        text = "".join(out) + text[at:]
-    return text, used
+        text, runs = "".join(out) + text[at:], None
+    return text, used, sum(len(LOST.findall(text, a, b)) for a, b in runs)
 
 
 def _utf8_readings(piece: str, space: bool, rounds: int) -> list[tuple[str, int, str]]:
@@ -266,17 +318,17 @@ def garbled(documents: DataFrame, params: EncodingParams = EncodingParams(), key
     """(doc_id, restored, mappings, lost): the garbled documents; lost: characters that cannot be restored."""
     p, spark = params, documents.sparkSession
     texts = spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text")).where("doc_id IS NOT NULL AND text <> ''"))
-    counts = [(r.pair, r.n) for r in pair_counts(texts, "text", p.rounds).orderBy(F.desc("n"), "pair").limit(p.max_pairs).collect()]
-    shared = spark.sparkContext.broadcast(model(counts, p))
+    shared = spark.sparkContext.broadcast(model(pair_counts(texts, "text", p.rounds), p))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, memo = shared.value, {}
-        for b in batches:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             memo = memo if len(memo) < 200_000 else {}
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fixed, used = restore(text, known, p, memo)
-                lost = len(LOST.findall(fixed))
+            rows, docs = [], b.column(1).to_pylist()
+            for doc, text, runs in zip(b.column(0).to_pylist(), docs, improbable(docs, known), strict=True):
+                if not runs:
+                    continue
+                fixed, used, lost = restore(text, known, p, memo, runs)
                 if used or lost:
                     rows.append((doc, fixed, sorted(set(used)), lost))
             if rows:

@@ -162,3 +162,30 @@ def test_a_third_of_the_rows_garbled_alike(spark, true, alike):
     rows = [(k, t) for k, t in enumerate(good + bad)]
     got = {r.doc_id for r in encoding.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == set(range(80, 120))
+
+
+def test_most_right_pieces_are_left_alone(spark):
+    rng = random.Random(17)
+    good = [f"{sentence(rng, 6)}. Él señaló la montaña, {sentence(rng, 3)}, según la señora." for _ in range(400)]
+    bad = [good[k].encode().decode("cp1252") for k in range(5)]
+    p = encoding.EncodingParams(usual=2e-3)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "doc_id long, text string")
+    known = encoding.model(encoding.pair_counts(df.select("text"), "text"), p)
+    inside = lambda t, r: [any(a < m.end() and m.start() < b for a, b in r) for m in encoding.PIECE.finditer(t)]
+    right = [x for t, r in zip(good, encoding.improbable(good, known)) for x in inside(t, r)]
+    wrong = [x for t, r in zip(bad, encoding.improbable(bad, known)) for x in inside(t, r)]
+    assert sum(right) < 0.2 * len(right) and all(wrong)
+    # outside the runs no mapping is tested: without runs nothing is found
+    assert encoding.restore(bad[0], known, p)[1] and not encoding.restore(bad[0], known, p, runs=[])[1]
+
+
+def test_runs_stay_inside_their_text(spark):
+    known = encoding.Model(np.array([], np.int64), np.array([]), np.array([]), -20.0)
+    assert encoding.improbable(["", "é", "abc", "aéb", "é"], known) == [[], [(0, 1)], [], [(0, 3)], [(0, 1)]]
+    assert encoding.improbable([], known) == [] and encoding.improbable(["aé", "éa"], known) == [[(0, 2)], [(0, 2)]]
+
+
+def test_known_pairs_are_bounded_by_probability(spark):
+    df = spark.createDataFrame([("é" * 3000 + "ü",), ("ñb",)], "text string")
+    known = encoding.model(encoding.pair_counts(df, "text"), encoding.EncodingParams(floor_bits=10))
+    assert known.pair.tolist() == [(0xE9 << 21) | 0xE9] and known.unseen == -12
