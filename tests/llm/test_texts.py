@@ -47,7 +47,52 @@ def test_every_pair_within_the_radius_shares_a_key():
         a = rng.integers(0, 2**63, (1, p.positions)).astype(np.uint64)
         b = a.copy()
         b[0, rng.choice(p.positions, p.radius, replace=False)] += np.uint64(1)
-        assert (neardup._keys(a, p, False) == neardup._keys(b, p, False)).any()
+        assert (neardup._keys(a, p)[0] == neardup._keys(b, p)[0]).any()
+        assert neardup.distances(neardup.short_forms(a, p), neardup.short_forms(b, p), p)[0] <= p.radius
+
+
+def test_distances_count_positions():
+    p = neardup.LOOSE
+    sig = np.random.default_rng(2).integers(0, 2**63, (40, p.positions)).astype(np.uint64)
+    low = neardup._mix(sig) & np.uint64(15)
+    short = neardup.short_forms(sig, p)
+    assert (neardup.distances(short[:-1], short[1:], p) == (low[:-1] != low[1:]).sum(axis=1)).all()
+
+
+@pytest.mark.parametrize("stock", [0.0, 0.24, 0.4])
+def test_pairs_of_half_similarity_are_found_with_stock_runs(spark, stock):
+    """Pairs of similarity 0.5 whose common runs are stock as far as can be."""
+    rng, n, size = random.Random(23), 300, 90
+    held = [f"s{k}" for k in range(int(stock * size) + 2)]
+    text = lambda own: " ".join(held + own)
+    rows, want = [], set()
+    for k in range(n):
+        own = [f"a{k}x{i}" for i in range(size - int(stock * size))]
+        common = size * 2 // 3 + 2 - int(stock * size)
+        rows += [(f"p{k:04d}", text(own)), (f"q{k:04d}", text(own[:common] + [f"b{k}x{i}" for i in range(len(own) - common)]))]
+        x, y = runs(rows[-2][1], 3), runs(rows[-1][1], 3)
+        assert 0.5 <= len(x & y) / len(x | y) < 0.54
+        want.add((f"p{k:04d}", f"q{k:04d}"))
+    df = spark.createDataFrame(rows, "source_id string, narrative string").repartition(4)
+    got = {(r.a, r.b) for r in neardup.near_pairs(df, neardup.LOOSE)[0].collect()}
+    assert len(got & want) >= 0.97 * len(want)
+
+
+def test_keys_above_the_block_size_lose_no_pair(spark):
+    rng = random.Random(29)
+    base = sentence(rng, 60).split()
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((f"s{k:03d}", " ".join(w)))
+    df = spark.createDataFrame(rows, "source_id string, narrative string").repartition(3)
+    from dataclasses import replace
+
+    a = {(r.a, r.b) for r in neardup.near_pairs(df, neardup.LOOSE)[0].collect()}
+    b = {(r.a, r.b) for r in neardup.near_pairs(df, replace(neardup.LOOSE, hot_rows=20, group_rows=500))[0].collect()}
+    assert a == b and len(a) > 5000
 
 
 def test_groups(spark):
