@@ -228,7 +228,7 @@ def _text(data: bytes, page: str) -> str | None:
 def restore(text: str, known: Model, p: EncodingParams, memo: dict | None = None, runs: list[tuple[int, int]] | None = None) -> tuple[str, list[str], int]:
     """(text with the garbled runs restored as far as possible, the mappings used, lost characters inside runs).
 
-    ``runs``: the improbable runs, if they are known; ``memo`` keeps readings by piece between texts.
+    ``runs``: the improbable runs, if they are known; ``memo`` keeps weighed readings by piece and neighbours between texts.
     """
     memo = {} if memo is None else memo
     used: list[str] = []
@@ -239,6 +239,13 @@ def restore(text: str, known: Model, p: EncodingParams, memo: dict | None = None
     def mean(s: str) -> float:
         return worth(s) / max(len(s) - 1, 1)
 
+    def weighed(left: str, piece: str, after: str) -> tuple[list, list]:
+        """Readings of a piece as UTF-8 (gain per pair, for fewer characters are no gain in themselves) and by another one-byte page (gain in all)."""
+        right, whole = after[: p.reach], left + piece + after[: p.reach]
+        as_utf8 = [(mean(left + new + after[more : more + p.reach]) - mean(left + piece + after[: more + p.reach]), new, more, how) for new, more, how in _utf8_readings(piece, after[:1] == " ", p.rounds)]
+        as_bytes = [(worth(left + new + right) - worth(whole), new, how, _out_of_place(whole) and not _out_of_place(left + new + right)) for new, how in _byte_readings(piece)]
+        return as_utf8, as_bytes
+
     for turn in range(p.rounds + 1):
         if runs is None:
             runs = [] if text.isascii() else improbable([text], known)[0]
@@ -251,25 +258,20 @@ def restore(text: str, known: Model, p: EncodingParams, memo: dict | None = None
                 k += 1
             if a < at or k == len(runs) or runs[k][0] >= b:
                 continue
-            left, right = text[max(0, a - p.reach) : a], text[b : b + p.reach]
-            best = (0.0, None, None, b)
-            if (key := (m.group(), right[:1] == " ")) not in memo:
-                memo[key] = _utf8_readings(*key, p.rounds), _byte_readings(m.group())
+            key = text[max(0, a - p.reach) : a], m.group(), text[b : b + p.reach + 1]
+            if key not in memo:
+                memo[key] = weighed(*key)
             as_utf8, as_bytes = memo[key]
-            for new, more, how in as_utf8:
-                end = b + more
-                tail = text[end : end + p.reach]
-                # per pair, for fewer characters are no gain in themselves
-                gain = mean(left + new + tail) - mean(left + text[a:end] + tail)
+            best = (0.0, None, None, b)
+            for gain, new, more, how in as_utf8:
                 # a mapping already seen at work in this text needs less evidence
                 if gain > (max(best[0], 0.0) if best[1] or how not in used else -2.0):
-                    best = (gain, new, how, end)
+                    best = (gain, new, how, b + more)
             if best[1] is None and m.group().strip():
                 best = (1.0, None, None, b)
-                for new, how in as_bytes:
-                    gain = worth(left + new + right) - worth(left + m.group() + right)
+                for gain, new, how, mended in as_bytes:
                     # nor does a piece that only so stands rightly inside its word need as much
-                    if gain > best[0] and (gain > p.gain or how in used or gain > p.gain / 2 and _out_of_place(left + m.group() + right) and not _out_of_place(left + new + right)):
+                    if gain > best[0] and (gain > p.gain or how in used or gain > p.gain / 2 and mended):
                         best = (gain, new, how, b)
             if best[1] is not None:
                 out += [text[at:a], best[1]]
