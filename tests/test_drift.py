@@ -43,6 +43,30 @@ def test_nulls_never_change_type(spark):
     assert found(df) == []
 
 
+def test_a_header_that_takes_a_fields_place_by_its_values(spark):
+    shapes = ["disc", "light", "orb", "cigar", "cone"]
+    old = [{"id": k, "shape": shapes[k % 5], "city": f"c{k}"} for k in range(10)]
+    new = [{"id": k, "gestalt": shapes[k % 5], "city": f"c{k}", "crew": k} for k in range(5, 15)]
+    later = [{"id": k, "gestalt": shapes[k % 5], "shape": None} for k in range(15, 20)]
+    df = raw(spark, [("a", 1, old), ("a", 2, new), ("a", 3, new), ("b", 1, [{"gestalt": "x"}])])
+    assert found(df) == [(2, "crew", "added"), (2, "shape", "renamed")]
+    assert {r["shape"] for r in drift.unified(df).where("file_id IN (2, 3)").collect()} == set(shapes)
+    assert drift.unified(df).where("feed = 'b'").first()["other_fields"] == {"gestalt": "x"}
+    assert found(raw(spark, [("a", 1, old), ("a", 2, [{"id": k, "x": k} for k in range(5, 15)])])) == [(2, "city", "removed"), (2, "shape", "removed"), (2, "x", "added")]
+    # a second header of a field fills the gaps of the first
+    got = drift.unified(raw(spark, [("a", 1, old), ("a", 2, new), ("a", 3, later)])).where("file_id = 3").collect()
+    assert {r["shape"] for r in got} == set(shapes)
+
+
+def test_routes_fold_the_steps(spark):
+    df = raw(spark, [("a", 1, [{"city": "X", "lat": 1}]), ("a", 2, [{"town": "Y", "lat": "2"}]), ("a", 3, [{"town": "Z"}]), ("a", 4, [{"City": "W", "Lat": 3.5}])])
+    reg = drift.registry(df)
+    ops = {r.file_id: [(s.op, s.field) for s in r.steps] for r in reg.collect()}
+    assert ops == {1: [("add", "city"), ("add", "latitude")], 2: [("rename", "city"), ("cast", "latitude")], 3: [("default", "latitude")], 4: [("rename", "city"), ("add", "latitude")]}
+    assert {r.file_id: r.route for r in drift.routes(reg).collect()} == {1: {"city": ["city"], "latitude": ["lat"]}, 2: {"city": ["town"], "latitude": ["lat"]}, 3: {"city": ["town"]}, 4: {"city": ["City"], "latitude": ["Lat"]}}
+    assert [(r.city, r.latitude) for r in drift.unified(df).orderBy("file_id").collect()] == [("X", 1.0), ("Y", 2.0), ("Z", None), ("W", 3.5)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert found(df) == [] and drift.versions(df).count() == 0 and drift.unified(df).count() == 0
