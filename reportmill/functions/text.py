@@ -30,10 +30,11 @@ STATE_CODES = (
 )
 
 #: What is taken off a typed city, in order (pattern, replacement), off a gazetteer name, and what names often lack.
+SAINT_RULE = (r"^st\.?\s+", "saint ")
 CITY_RULES = (
     (r"\s*\([^)]*\)\s*", " "),
     (r"^(north|south|east|west|n\.|s\.|e\.|w\.)\s+", ""),
-    (r"^st\.?\s+", "saint "),
+    SAINT_RULE,
     (r",\s*[a-z]{2}$", ""),
 )
 CENSUS_SUFFIX = r"\s+(city|town|cdp|village|borough|township|plantation|municipality|charter township|metro township)$"
@@ -63,9 +64,10 @@ def collapsed(text: Column) -> Column:
 def clean_narrative(raw: Column) -> Column:
     """Entities decoded, white space collapsed, editor notes removed; null becomes the empty text.
 
-    Only texts with an ampersand matter to the Python step; all others pass through it unchanged.
+    Only texts with an ampersand go to the Python step.
     """
-    plain = unescape_twice(F.coalesce(raw, F.lit("")))
+    # only texts with an ampersand are sent
+    plain = F.coalesce(unescape_twice(F.when(raw.contains("&"), raw)), raw, F.lit(""))
     flat, low = collapsed(plain), F.lower(plain)
     # every note ends in PD or begins with the name of the office; other texts need no look at the nine patterns
     marked = F.contains(low, F.lit("pd")) | F.contains(low, F.lit("nuforc"))
@@ -86,7 +88,7 @@ def code(raw: Column, upper: bool = True) -> Column:
 
 def normalize_city(raw: Column, saints: bool = True) -> Column:
     """A typed city for the gazetteer: lower case, no notes in brackets, no leading direction, St. as saint, no trailing state."""
-    rules = [r for r in CITY_RULES if saints or r[1] != "saint "]
+    rules = [r for r in CITY_RULES if saints or r is not SAINT_RULE]
     return reduce(lambda s, r: F.trim(F.regexp_replace(s, *r)), rules, F.lower(F.trim(F.coalesce(raw, F.lit("")))))
 
 
@@ -115,3 +117,39 @@ def word_safe(text: Column, most: int = 200) -> Column:
     """At most ``most`` characters, cut after the last whole word, with dots."""
     cut = F.regexp_replace(F.substring(text, 1, most), r"(?s) [^ ]*$", "")
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat(cut, F.lit("...")))
+
+
+def title_case(text: Column) -> Column:
+    """Letters after anything but a letter as capitals, all others small, also after apostrophes and digits."""
+    low = F.lower(text)
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
+    turned = F.transform(chars, lambda c, i: F.when((i == 0) | ~F.coalesce(F.try_element_at(chars, i), F.lit("")).rlike(r"\p{L}"), F.upper(c)).otherwise(c))
+    return F.array_join(turned, "")
+
+
+def highlighted(text: Column, words: str) -> Column:
+    """The text in parts: what lies between the places of the words, whatever their case, and the words as they stand."""
+    import re
+
+    return F.split(F.regexp_replace(text, "(?i)(" + re.escape(words) + ")", "\u0001$1\u0001"), "\u0001")
+
+
+def month_label(day: Column) -> Column:
+    """A month as in Jan 2014."""
+    return F.date_format(day, "MMM yyyy")
+
+
+def salvaged(text: Column) -> Column:
+    """The JSON object inside a text, from the first to the last brace, or null if that is none."""
+    body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(body).isNotNull(), body)
+
+
+def cache_key(query: Column, context: Column) -> Column:
+    """Key of an answer kept for a query, whatever its case and outer blanks, and its context."""
+    return F.sha2(F.concat(F.lower(F.trim(query)), F.coalesce(context, F.lit(""))), 256)
+
+
+def excerpt(text: Column, most: int) -> Column:
+    """The first characters of a text, for display."""
+    return F.substring(text, 1, most)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import dates
 from reportmill.operators import vectors
+from reportmill.runtime import numbered, small
 
 
 def assigned(embeddings: DataFrame, dims: int = 25, k: int = 30, min_size: int = 10, seed: int = 42) -> DataFrame:
@@ -25,9 +26,9 @@ def assigned(embeddings: DataFrame, dims: int = 25, k: int = 30, min_size: int =
     flat = PCA(k=min(dims, size), inputCol="v", outputCol="p").fit(rows).transform(rows)
     named = KMeans(k=min(k, n), seed=seed, featuresCol="p", predictionCol="c").fit(flat).transform(flat)
     counts = named.groupBy("c").agg(F.count("*").alias("n"), F.min("source_id").alias("low"))
-    number = counts.where(F.col("n") >= min_size).withColumn("archetype", F.row_number().over(Window.orderBy(F.desc("n"), "low")) - 1).select("c", "archetype")
+    number = numbered(counts.where(F.col("n") >= min_size), [F.desc("n"), F.col("low")], "archetype").select("c", F.col("archetype").cast("int").alias("archetype"))
     p = vector_to_array("p")
-    return named.join(F.broadcast(number), "c", "left").select("source_id", F.coalesce("archetype", F.lit(-1)).alias("archetype"), F.round(p[0], 6).alias("x"), F.round(p[1] if size > 1 else F.lit(0.0), 6).alias("y"))
+    return named.join(small(number), "c", "left").select("source_id", F.coalesce("archetype", F.lit(-1)).alias("archetype"), F.round(p[0], 6).alias("x"), F.round(p[1] if size > 1 else F.lit(0.0), 6).alias("y"))
 
 
 def profiles(labels: DataFrame, reports: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from reportmill.functions import dates, text
 from reportmill.params import DEFAULT, Params
+from reportmill.runtime import materialize
 
 
 def judged(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """All rows with cleaned columns and ``reason``, the first rule a row fails, null if it passes all.
 
     Rules in order: time unreadable, narrative too short, not from the US, coordinates impossible (only if any row that
-    passed so far has a latitude), year out of range. One pass; the flag for the fourth rule is a one-row join.
+    passed so far has a latitude), year out of range. The texts are cleaned once: the rows are written to the shared folder
+    before the flag for the fourth rule, a one-row join, is taken from them.
     """
     p = params
     rows = raw.withColumns({
@@ -26,7 +28,7 @@ def judged(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
     early = (
         F.when(F.col("event_dt").isNull(), "unparseable_datetime").when(F.col("narrative_chars") < p.min_narrative, "narrative_too_short").when(~american, "non_us")
     )
-    rows = rows.withColumn("early", early)
+    rows = materialize(rows.withColumn("early", early), "judged")
     flag = rows.where("early IS NULL").agg(F.coalesce(F.max(F.col("latitude").isNotNull()), F.lit(False)).alias("located"))
     rows = rows.crossJoin(F.broadcast(flag))  # exactly one row
     placed = F.coalesce(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180), F.lit(False))

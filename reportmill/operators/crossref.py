@@ -2,29 +2,51 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.functions import dates
+from reportmill.functions.text import title_case
 from reportmill.params import DEFAULT, Params
 
 
+#: Forms of dates, tried in this order.
+DATE_FORMS = ("M/d/yy", "M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+
+
 def incident_date(raw: Column) -> Column:
-    """M/D/YY, N/A as null, years beyond 2026 a century earlier."""
-    day = F.try_to_timestamp(F.when(F.upper(F.trim(raw)) != "N/A", F.trim(raw)), F.lit("M/d/yy")).cast("date")
-    return dates.shifted_year(day)
+    """A date written in any of ``DATE_FORMS``, N/A and all else as null, years beyond 2026 a century earlier."""
+    text = F.when(F.upper(F.trim(raw)) != "N/A", F.trim(raw))
+    return dates.shifted_year(F.coalesce(*[F.try_to_timestamp(text, F.lit(form)) for form in DATE_FORMS]).cast("date"))
 
 
-def incident_state(raw: Column, names: list[tuple[str, str]]) -> Column:
-    """The code of a state: after a city and comma, else the first state of ``names`` (name, code) whose name the text holds, else a bare code."""
-    low = F.lower(F.trim(raw))
-    after = F.upper(F.regexp_extract(F.trim(raw), r"^[^,]+,\s*([A-Za-z]{2})\b", 1))
+def incident_place(raw: Column, names: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """(city, state) of a location text; both empty for a null and for a place in none of ``names`` (state name, code).
+
+    "City, ST" with a capital code at the end; else the first state of ``names`` whose name the text holds, in any case, what is
+    left being the city; else the first code, by alphabet, after a comma or at the end.
+    """
+    s, none = F.trim(raw), F.lit("")
     codes = sorted(c for _, c in names)
-    by_name = reduce(lambda rest, nc: F.when(low.contains(nc[0].lower()), nc[1]).otherwise(rest), reversed(names), F.lit(None).cast("string"))
-    bare = reduce(lambda rest, c: F.when(F.upper(F.trim(raw)).rlike(rf"\b{c}\b"), c).otherwise(rest), reversed(codes), F.lit(None).cast("string"))
-    return F.when(after.isin(codes), after).otherwise(F.coalesce(by_name, bare))
+    listed = F.regexp_extract(s, r"^(.+?),\s*([A-Z]{2})$", 2).isin(codes)
+    out_city, out_state = none, none
+    for c in reversed(codes):
+        here = s.contains(f", {c}") | s.endswith(f" {c}")
+        out_city = F.when(here, F.trim(F.replace(F.replace(s, F.lit(f", {c}"), none), F.lit(f" {c}"), none))).otherwise(out_city)
+        out_state = F.when(here, c).otherwise(out_state)
+    low = F.lower(s)
+    for name, c in reversed(names):
+        here = low.contains(name.lower())
+        out_city = F.when(here, title_case(F.regexp_replace(F.replace(low, F.lit(name.lower()), none), "^[ ,]+|[ ,]+$", ""))).otherwise(out_city)
+        out_state = F.when(here, c).otherwise(out_state)
+    first = F.trim(F.regexp_extract(s, r"^(.+?),\s*([A-Z]{2})$", 1))
+    city, state = F.when(listed, first).otherwise(out_city), F.when(listed, F.regexp_extract(s, r"^(.+?),\s*([A-Z]{2})$", 2)).otherwise(out_state)
+    return F.coalesce(F.when(raw.isNotNull(), city), none), F.coalesce(F.when(raw.isNotNull(), state), none)
+
+
+def incident_state(raw: Column, names: list[tuple[str, str]]) -> Column:
+    """The state of ``incident_place``, null where there is none."""
+    return F.nullif(incident_place(raw, names)[1], F.lit(""))
 
 
 def days_around(records: DataFrame, day: str, k: int) -> DataFrame:

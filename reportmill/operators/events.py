@@ -27,8 +27,8 @@ CATALOG = (
 
 def catalog(spark: SparkSession, rows: tuple = CATALOG) -> DataFrame:
     day = dt.date.fromisoformat
-    data = [(n, day(a), day(b), s, shape, list(p), k) for n, a, b, s, shape, p, k in rows]
-    return spark.createDataFrame(data, "event string, start date, end date, states array<string>, expected_shape string, expected_phrases array<string>, kind string")
+    data = [(i, n, day(a), day(b), s, shape, list(p), k) for i, (n, a, b, s, shape, p, k) in enumerate(rows)]
+    return spark.createDataFrame(data, "position int, event string, start date, end date, states array<string>, expected_shape string, expected_phrases array<string>, kind string")
 
 
 def members(reports: DataFrame, events: DataFrame) -> DataFrame:
@@ -65,14 +65,32 @@ def flaps_met(flaps: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def phrases_met(signatures: DataFrame, events: DataFrame) -> DataFrame:
-    """(event, sig_phrases_matched): expected phrases that are part of any phrase found for the event."""
-    got = signatures.groupBy("event").agg(F.collect_list("phrase").alias("got"))  # at most the top phrases
-    out = events.join(got, "event", "left")
-    return out.select("event", F.size(F.filter(F.col("expected_phrases"), lambda p: F.exists(F.coalesce("got", F.array().cast("array<string>")), lambda g: g.contains(p)))).alias("sig_phrases_matched"))
+    """(event, sig_found, sig_phrases_matched, sig_top_phrase, sig_top_score): the phrases found for an event's like-named signatures.
+
+    A signature belongs to an event if its name holds any of the first two words of the event's, in any case; of several the first
+    in the catalog's order counts (those not in the catalog last, by name). Matched are expected phrases that are part of a found one.
+    """
+    names = signatures.select(F.col("event").alias("sig_event")).distinct().join(events.select(F.col("event").alias("sig_event"), "position"), "sig_event", "left")
+    words = F.slice(F.split(F.lower("event"), r"\s+"), 1, 2)
+    alike = F.exists(words, lambda w: F.lower("sig_event").contains(w))
+    named = events.select("event", "expected_phrases").join(F.broadcast(names), alike)
+    first = named.groupBy("event", "expected_phrases").agg(F.min_by("sig_event", F.struct(F.coalesce("position", F.lit(1 << 30)), "sig_event")).alias("sig_event"))
+    best = F.struct(-F.col("distinctiveness"), "phrase")
+    got = signatures.groupBy(F.col("event").alias("sig_event")).agg(F.collect_list(F.lower("phrase")).alias("got"), F.min_by("phrase", best).alias("sig_top_phrase"), F.max("distinctiveness").alias("sig_top_score"))  # at most the top phrases
+    met = first.join(got, "sig_event").select("event", F.size(F.filter("expected_phrases", lambda p: F.exists("got", lambda g: g.contains(F.lower(p))))).alias("sig_phrases_matched"), "sig_top_phrase", "sig_top_score")
+    out = events.select("event").join(met, "event", "left")
+    return out.select("event", F.col("sig_phrases_matched").isNotNull().alias("sig_found"), F.coalesce("sig_phrases_matched", F.lit(0)).alias("sig_phrases_matched"), F.coalesce("sig_top_phrase", F.lit("")).alias("sig_top_phrase"), F.coalesce("sig_top_score", F.lit(0.0)).alias("sig_top_score"))
 
 
 def matrix(reports: DataFrame, events: DataFrame, clusters: DataFrame, flaps: DataFrame, signatures: DataFrame) -> DataFrame:
-    """One row per event with what each of four methods finds and how many do."""
+    """One row per event with what each of four methods finds, how many do, and what that makes of it: PASS from two on, PARTIAL for one, else MISS."""
     out = coverage(reports, events).join(clusters_met(clusters, reports, events), "event").join(flaps_met(flaps, events), "event").join(phrases_met(signatures, events), "event").join(events.select("event", "kind"), "event")
-    hits = [F.col("cluster_count") > 0, F.col("flap_count") > 0, F.col("sig_phrases_matched") > 0, F.col("shape_matches")]
-    return out.withColumn("detections_out_of_4", sum((h.cast("int") for h in hits[1:]), hits[0].cast("int")))
+    hits = [F.col("cluster_count") > 0, F.col("flap_count") > 0, F.col("sig_found"), F.col("shape_matches")]
+    n = sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
+    return out.withColumn("detections_out_of_4", n).withColumn("status", F.when(n >= 2, "PASS").when(n >= 1, "PARTIAL").otherwise("MISS"))
+
+
+def verdicts(matrix_: DataFrame) -> DataFrame:
+    """(kind, n_events, passed, partial, missed, pct_passed): totals per kind of event and, with a null kind, over all."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return matrix_.rollup("kind").agg(F.count("*").alias("n_events"), of("PASS").alias("passed"), of("PARTIAL").alias("partial"), of("MISS").alias("missed"), F.round(of("PASS") * 100 / F.count("*"), 1).alias("pct_passed"))

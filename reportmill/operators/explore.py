@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reportmill.runtime import numbered
+
 
 def filtered(reports: DataFrame, first: int, last: int, states: list[str] = (), shapes: list[str] = (), words: str = "") -> DataFrame:
     """Reports of the years, states and shapes (none: all) whose narrative holds the words, whatever their case."""
@@ -48,8 +53,30 @@ def metrics(reports: DataFrame) -> DataFrame:
 
 
 def sampled(reports: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all), the same for the same seed whatever the partitioning."""
-    return reports.orderBy(F.xxhash64("source_id", F.lit(seed)), "source_id").limit(n)
+    """Exactly n rows (or all), the same for the same seed whatever the partitioning and engine."""
+    return reports.orderBy(F.md5(F.concat("source_id", F.lit(f":{seed}"))), "source_id").limit(n)
+
+
+def exactly_placed(reports: DataFrame) -> DataFrame:
+    """Reports whose place was found by its own name."""
+    return reports.where("geocode_method = 'exact' AND latitude IS NOT NULL AND longitude IS NOT NULL")
+
+
+def listed(reports: DataFrame, by: str) -> DataFrame:
+    """``reports`` with their place, from 0, in the order of a column (nulls last; ties: smaller id). Sorted in ranges, whatever their number."""
+    return numbered(reports, [F.col(by).asc_nulls_last(), F.col("source_id")], "place")
+
+
+def bubbles(counts_: DataFrame, value: str, least: float = 6.0, span: float = 26.0) -> DataFrame:
+    """``counts_`` with the radius of a bubble whose area follows the value."""
+    return counts_.withColumn("radius", F.round(least + F.sqrt(F.col(value) / F.max(value).over(Window.partitionBy())) * span, 4))
+
+
+def narratives_of(labels: DataFrame, reports: DataFrame, group: str, most: int = 3) -> DataFrame:
+    """(group, place, source_id, narrative): the first reports of each group by id, empty narratives aside."""
+    w = Window.partitionBy(group).orderBy("source_id")
+    own = labels.join(reports.where("narrative <> ''").select("source_id", "narrative"), "source_id")
+    return own.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select(group, "place", "source_id", "narrative")
 
 
 def anomaly(reports: DataFrame, population: DataFrame) -> DataFrame:
@@ -66,28 +93,89 @@ def matches(frames: dict[str, tuple[DataFrame, list[str]]], words: str) -> DataF
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "collection string, n_matches long")
 
 
-def routed(keyword: str, tables: list[tuple[str, DataFrame, str, bool]]) -> DataFrame:
-    """(kind, value): the first table that knows the keyword; ``tables``: (kind, frame, column, whole value or part of it).
+def routed(keywords: list[str], stages: list[tuple[str, DataFrame, bool]]) -> DataFrame:
+    """(keyword, kind, label): for each keyword the first stage that knows it.
 
-    Within a kind the alphabetically first value counts; no match gives no row.
+    ``stages``: (kind, frame of (label, term), whether the term must be the keyword or may hold it). Case and outer blanks do not
+    count; an empty keyword is known to none. Within a stage the alphabetically first label counts; no match gives no row.
     """
-    k = keyword.strip().lower()
+    spark = stages[0][1].sparkSession
+    asked = spark.createDataFrame([(k, k.strip().lower()) for k in keywords if k.strip()], "keyword string, k string")
     parts = []
-    for place, (kind, df, column, whole) in enumerate(tables):
-        v = F.lower(F.col(column).cast("string"))
-        hit = df.where(v == k) if whole else df.where(F.contains(v, F.lit(k)))
-        parts.append(hit.agg(F.min(F.col(column).cast("string")).alias("value")).select(F.lit(place).alias("place"), F.lit(kind).alias("kind"), "value"))
-    every = reduce(DataFrame.unionByName, parts).where("value IS NOT NULL")
-    return every.orderBy("place").limit(1).select("kind", "value")
-
-
-def flattened(df: DataFrame, key: str, json: str, most: int = 40) -> DataFrame:
-    """(key, path, value): the leaves of a JSON object, nested objects by dotted path to the second level, at most ``most`` per row in path order."""
-    first = df.select(key, F.explode(F.from_json(json, "map<string,string>")).alias("a", "v"))
-    inner = F.from_json(F.when(F.col("v").startswith("{"), F.col("v")), "map<string,string>")
-    deep = first.select(key, F.explode(F.when(F.size(inner) > 0, F.transform(F.map_entries(inner), lambda e: F.struct(F.concat("a", F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))).otherwise(F.array(F.struct(F.col("a").alias("path"), F.col("v").alias("value"))))).alias("x"))
-    w = Window.partitionBy(key).orderBy("x.path")
-    return deep.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).select(key, "x.path", "x.value")
+    for place, (kind, df, whole) in enumerate(stages):
+        t = df.select(F.col("label").cast("string").alias("label"), F.lower(F.col("term").cast("string")).alias("t"))
+        hit = t.join(F.broadcast(asked), F.col("t") == F.col("k") if whole else F.contains("t", "k"))
+        parts.append(hit.groupBy("keyword").agg(F.min("label").alias("label")).select("keyword", F.lit(place).alias("place"), F.lit(kind).alias("kind"), "label"))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("keyword").agg(F.min(F.struct("place", "kind", "label")).alias("m")).select("keyword", "m.kind", "m.label")
+
+
+def router_stages(states: DataFrame, shapes: DataFrame, archetypes: DataFrame, years: DataFrame, events_: DataFrame, terms: DataFrame, flaps_: DataFrame, first: int = 1905, last: int = 2023) -> list:
+    """The stages of the keyword router in their order; each frame is (label, term), years (label, term) with the year as term."""
+    year = years.where(F.col("term").cast("int").between(first, last))
+    return [
+        ("state", states, True), ("shape", shapes, True), ("archetype", archetypes.where("exact"), True), ("archetype", archetypes.where("NOT exact"), False), ("year", year, True),
+        ("event", events_, False), ("term", terms, True), ("state", states, False), ("event", flaps_, False), ("term", terms, False),
+    ]
+
+
+def context(route: DataFrame, kind: str, frame: DataFrame, on: str) -> DataFrame:
+    """The rows of a frame that belong to the keywords routed to a kind: where the column is, or as an array or text holds, the label."""
+    r = F.broadcast(route.where(F.col("kind") == kind).select("keyword", "label"))
+    array = frame.schema[on].dataType.typeName() == "array"
+    held = F.expr(f"array_contains(`{on}`, label)") if array else F.col(on).cast("string") == F.col("label")
+    return frame.join(r, held)
+
+
+def _leaf(value: object) -> str:
+    """A JSON value as JavaScript writes it as text."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if value is None:
+        return "null"
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    return str(value)
+
+
+def leaves(value: object, path: str = "") -> list[tuple[str, str]]:
+    """(path, text) of every leaf of a JSON value in document order: members after dots, items by their number in brackets; a bare value has none."""
+    out: list[tuple[str, str]] = []
+    stack: list[tuple[str, object]] = [(path, value)]
+    while stack:
+        at, v = stack.pop()
+        if isinstance(v, dict):
+            stack += [(f"{at}.{k}" if at else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            stack += [(f"{at}[{i}]", x) for i, x in reversed(list(enumerate(v)))]
+        elif at != path:
+            out.append((at, _leaf(v)))
+    return out
+
+
+def flattened(df: DataFrame, keys: list[str], json_column: str, most: int = 40) -> DataFrame:
+    """(keys, path, value): the first ``most`` leaves of each JSON value, however deep; null and malformed values have none.
+
+    Depth is data, which no built-in follows, so values go through Python in Arrow batches.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, path, value = [], [], []
+            for k, text in enumerate(b.column(len(keys)).to_pylist()):
+                try:
+                    found = leaves(json.loads(text)) if text else []
+                except ValueError:
+                    found = []
+                for p, v in found[:most]:
+                    row.append(k)
+                    path.append(p)
+                    value.append(v)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(len(keys))], pa.array(path, pa.string()), pa.array(value, pa.string())], [*keys, "path", "value"])
+
+    return df.select(*keys, json_column).mapInArrow(flatten, f"{kinds}, path string, value string")
 
 
 #: Name, first and last year of the eras a year may belong to; the first that holds it counts.
@@ -127,5 +215,5 @@ def detections(matrix: DataFrame) -> DataFrame:
     """(kind, n_events, each method's hits): totals per kind of event and, with a null kind, over all."""
     return matrix.rollup("kind").agg(
         F.count("*").alias("n_events"), F.count_if(F.col("cluster_count") > 0).alias("by_cluster"), F.count_if(F.col("flap_count") > 0).alias("by_flap"),
-        F.count_if(F.col("sig_phrases_matched") > 0).alias("by_phrase"), F.count_if("shape_matches").alias("by_shape"),
+        F.count_if("sig_found").alias("by_phrase"), F.count_if("shape_matches").alias("by_shape"),
     )

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import dates
+from reportmill.operators import vectors
 from reportmill.params import DEFAULT, Params
+from reportmill.runtime import materialize, numbered
 
 
 def eligible(reports: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -68,8 +70,8 @@ def islands(weeks: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def of_flap(rows: DataFrame, flaps: DataFrame) -> DataFrame:
     """The reports of each flap: equal state, date within; all reports count, flagged week or not."""
-    f = flaps.select("state", "start", "end")
-    return rows.join(F.broadcast(f) if f.limit(20_001).count() <= 20_000 else f, "state").where(F.col("event_date").between(F.col("start"), F.col("end")))
+    # one row per burst: far fewer than the reports, so the optimizer sees by itself whether they can be broadcast
+    return rows.join(flaps.select("state", "start", "end"), "state").where(F.col("event_date").between(F.col("start"), F.col("end")))
 
 
 def half_life(rows: DataFrame, flaps: DataFrame) -> DataFrame:
@@ -85,8 +87,11 @@ def half_life(rows: DataFrame, flaps: DataFrame) -> DataFrame:
     return out.select("state", "start", F.when(many, F.col("p.event_date")).otherwise(F.col("first")).alias("peak_date"), F.when(many, F.datediff("half", "p.event_date")).alias("half_life_days"))
 
 
-def enriched(rows: DataFrame, flaps: DataFrame) -> DataFrame:
-    """Each flap with its report and city counts, duration, top shapes (ties: alphabetical) and decay."""
+def enriched(rows: DataFrame, flaps: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
+    """Each flap with its report and city counts, duration, top shapes (ties: alphabetical) and decay.
+
+    With embeddings also ``coherence``: the mean cosine over all pairs of its embedded reports, 0 for fewer than two.
+    """
     inside = of_flap(rows, flaps)
     base = inside.groupBy("state", "start").agg(F.count("*").alias("n_reports"), F.countDistinct("city").alias("n_cities"))
     shapes = inside.where("shape_norm IS NOT NULL AND shape_norm <> ''").groupBy("state", "start", "shape_norm").agg(F.count("*").alias("n"))
@@ -95,7 +100,15 @@ def enriched(rows: DataFrame, flaps: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "shape_norm"))), lambda x: x["shape_norm"]), ", ").alias("top_3_shapes")
     )
     out = flaps.join(base, ["state", "start"]).join(ranked, ["state", "start"], "left").join(half_life(rows, flaps), ["state", "start"], "left")
-    return out.select("state", "start", "end", "peak_date", "n_reports", (F.datediff("end", "start") + 1).alias("duration_days"), "peak_ratio", "baseline_weekly", "n_cities", F.split("top_3_shapes", ", ")[0].alias("top_shape"), "top_3_shapes", "half_life_days")
+    more = []
+    if embeddings is not None:
+        alike = vectors.coherence(inside.join(vectors.units(embeddings), "source_id"), ["state", "start"], 0.0).drop("n")
+        out = out.join(alike, ["state", "start"], "left")
+        more = [F.round(F.coalesce("coherence", F.lit(0.0)), 4).alias("coherence")]
+    return out.select(
+        "state", "start", "end", "peak_date", "n_reports", (F.datediff("end", "start") + 1).alias("duration_days"), "peak_ratio", "baseline_weekly", "n_cities",
+        F.split("top_3_shapes", ", ")[0].alias("top_shape"), "top_3_shapes", "half_life_days", *more,
+    )
 
 
 def concurrent(flaps: DataFrame) -> DataFrame:
@@ -112,11 +125,11 @@ def concurrent(flaps: DataFrame) -> DataFrame:
     return out.withColumn("n_concurrent_states", F.size("concurrent_states"))
 
 
-def catalog(rows: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def catalog(rows: DataFrame, params: Params = DEFAULT, embeddings: DataFrame | None = None) -> DataFrame:
     """All flaps enriched, with their concurrent states, numbered by reports (ties: state, start)."""
-    flaps = islands(bursts(rows, params), params)
-    out = enriched(rows, flaps).join(concurrent(flaps), ["state", "start"])
-    return out.withColumn("flap_id", F.row_number().over(Window.orderBy(F.desc("n_reports"), "state", "start")) - 1)
+    flaps = materialize(islands(bursts(rows, params), params), "flaps")
+    out = enriched(rows, flaps, embeddings).join(concurrent(flaps), ["state", "start"])
+    return numbered(out, [F.desc("n_reports"), F.col("state"), F.col("start")], "flap_id")
 
 
 def threshold_grid(rows: DataFrame, ratios: list[float], params: Params = DEFAULT) -> DataFrame:

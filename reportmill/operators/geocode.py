@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text
-from reportmill.runtime import small
+from reportmill.runtime import BROADCAST_ROWS, materialize, small
 
 
 def gazetteer(*tables: DataFrame) -> DataFrame:
@@ -28,9 +28,12 @@ def geocoded(reports: DataFrame, places: DataFrame, centres: DataFrame, saints:
     The lookup tables are broadcast while small, so rows are not shuffled.
     """
     city = text.normalize_city(F.col("city"), saints)
+    places = materialize(places, "places")
+    few = places.count() <= BROADCAST_ROWS
+    near = F.broadcast if few else lambda df: df
     out = reports.drop("latitude", "longitude", "geocode_method").withColumns({"_s": text.code(F.col("state")), **{f"_v{k}": v for k, v in enumerate(text.city_variants(city))}})
     for k in range(3):
-        side = small(places.select(F.col("name").alias(f"_v{k}"), F.col("state").alias("_s"), F.col("lat").alias(f"_lat{k}"), F.col("lon").alias(f"_lon{k}")))
+        side = near(places.select(F.col("name").alias(f"_v{k}"), F.col("state").alias("_s"), F.col("lat").alias(f"_lat{k}"), F.col("lon").alias(f"_lon{k}")))
         out = out.join(side, [f"_v{k}", "_s"], "left")
     out = out.join(small(centres.select(F.col("state").alias("_s"), F.col("lat").alias("_latc"), F.col("lon").alias("_lonc"))), "_s", "left")
     found = [f"_lat{k} IS NOT NULL" for k in range(3)]

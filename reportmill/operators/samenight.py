@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reportmill.functions.text import word_safe
 from reportmill.operators import vectors
 from reportmill.params import DEFAULT, Params
+from reportmill.runtime import materialize, numbered
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
@@ -75,7 +76,15 @@ def members(reports: DataFrame, embeddings: DataFrame, params: Params = DEFAULT)
         dates = day.column("event_date").combine_chunks().take(pa.array(np.flatnonzero(keep)))
         return pa.table({"event_date": dates, "cluster_key": pa.array(ids[first][group][keep], pa.string()), "source_id": pa.array(ids[keep], pa.string())})
 
-    return rows.join(busy, "event_date", "left_semi").groupBy("event_date").applyInArrow(cluster, "event_date date, cluster_key string, source_id string")
+    found = rows.join(busy, "event_date", "left_semi").groupBy("event_date").applyInArrow(cluster, "event_date date, cluster_key string, source_id string")
+    return materialize(found, "nights")  # linked once, however often the members are used
+
+
+def shape_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, top_shape, shapes): the most frequent shape (ties: alphabetical) and a map of all with their counts; shapes are few."""
+    n = rows.groupBy(*by, F.coalesce("shape_norm", F.lit("")).alias("shape_norm")).agg(F.count("*").alias("n"))
+    entry = F.struct("shape_norm", "n")
+    return n.groupBy(*by).agg(F.min_by("shape_norm", F.struct(-F.col("n"), "shape_norm")).alias("top_shape"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("shapes"))
 
 
 def scored(found: DataFrame, reports: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -86,13 +95,11 @@ def scored(found: DataFrame, reports: DataFrame, embeddings: DataFrame) -> DataF
         F.count("*").alias("n_reports"), F.countDistinct("state").alias("n_states"), F.countDistinct("city").alias("n_cities"),
         F.array_join(F.array_sort(F.collect_set("state")), ", ").alias("states"),
     )
-    shape = rows.groupBy(*by, "shape_norm").agg(F.count("*").alias("n")).groupBy(*by).agg(
-        F.min_by("shape_norm", F.struct(-F.col("n"), "shape_norm")).alias("top_shape"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("shape_norm", F.lit("")), "n")))).alias("shapes")
-    )
+    shape = shape_counts(rows, by)
     out = base.join(shape, by).join(vectors.coherence(rows, by).drop("n"), by).join(vectors.medoids(rows, by), by)
     out = out.join(reports.select(F.col("source_id").alias("medoid"), word_safe(F.col("narrative")).alias("representative_narrative")), "medoid")
     score = 0.3 * F.least(F.col("n_reports") / 10, F.lit(1.0)) + 0.3 * F.least(F.col("n_states") / 5, F.lit(1.0)) + 0.4 * F.col("coherence")
     out = out.withColumns({"mean_cosine_sim": F.round("coherence", 4), "score": F.round(score, 4)}).drop("coherence", "similarity")
-    return out.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("score"), "event_date", "cluster_key")) - 1)
+    return numbered(out, [F.desc("score"), F.col("event_date"), F.col("cluster_key")], "cluster_id")
 
 

@@ -64,6 +64,14 @@ def signatures(reports: DataFrame, members: DataFrame, group: str, params: Param
     )
 
 
+def of_top_clusters(reports: DataFrame, members: DataFrame, params: Params = DEFAULT, top: int = 50, phrases: int = 10) -> DataFrame:
+    """Phrases of the ``top`` clusters of (event_date, cluster_key, source_id) by size (ties: earlier date, smaller key), as ``signatures`` gives them by cluster_id, date and key."""
+    first = members.groupBy("event_date", "cluster_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_date", "cluster_key").limit(top)
+    name = F.concat_ws(" ", F.date_format("event_date", "yyyy-MM-dd"), "cluster_key")
+    own = members.join(F.broadcast(first.drop("n")), ["event_date", "cluster_key"]).select(name.alias("cluster_id"), "source_id")  # at most ``top`` rows
+    return signatures(reports, own, "cluster_id", params, phrases=phrases)
+
+
 def class_terms(reports: DataFrame, members: DataFrame, group: str, params: Params = DEFAULT, top: int = 10) -> DataFrame:
     """(group, rank, term, tfidf): the top terms of each class, uni- and bigrams, each class one document; terms of one class only are left out."""
     p = params

@@ -164,17 +164,12 @@ def router_counts(spark: SparkSession, folder: str) -> DataFrame:
     return explore.matches(frames, "Moor")
 
 
-@query(f"""WITH {R}, c AS (SELECT 0 AS place, 'state' AS kind, min(state) AS value FROM state_centroid WHERE lower(state) = 'triangle' UNION ALL
-SELECT 1, 'shape', min(shape_norm) FROM reports WHERE lower(shape_norm) = 'triangle' UNION ALL SELECT 2, 'place', min(name) FROM gazetteer WHERE contains(lower(name), 'triangle') UNION ALL
-SELECT 3, 'event', min(event) FROM {_values([(e[0],) for e in events.CATALOG])} t(event) WHERE contains(lower(event), 'triangle')) SELECT kind, value FROM c WHERE value IS NOT NULL ORDER BY place LIMIT 1""")
-def keyword_route(spark: SparkSession, folder: str) -> DataFrame:
-    t = lambda n: table(spark, folder, n)
-    return explore.routed(" Triangle ", [("state", t("state_centroid"), "state", True), ("shape", reports(spark, folder), "shape_norm", True), ("place", t("gazetteer"), "name", False), ("event", events.catalog(spark), "event", False)])
-
-
-@query("""WITH e AS (SELECT event_id, props::JSON AS j FROM events), k AS (SELECT event_id, j, unnest(json_keys(j)) AS path FROM e) SELECT event_id, path, json_extract_string(j, '$.' || path) AS value FROM k""")
+@query(r"""SELECT r.file_id, r.row_no, replace(regexp_replace(t.fullkey, '^\$\.?', ''), '"', '') AS path,
+CASE WHEN t.type IN ('DOUBLE', 'FLOAT') THEN regexp_replace(cast(t.atom AS VARCHAR), '\.0$', '') WHEN t.type = 'VARCHAR' THEN json_extract_string(t.atom, '$') WHEN t.type = 'NULL' THEN 'null' ELSE cast(t.atom AS VARCHAR) END AS value
+FROM raw_rows r, json_tree(r.payload) t WHERE json_valid(r.payload) AND t.type NOT IN ('OBJECT', 'ARRAY')""")
 def json_flatten(spark: SparkSession, folder: str) -> DataFrame:
-    return explore.flattened(table(spark, folder, "events"), "event_id", "props")
+    """Payloads with lists and objects in them, leaf by leaf."""
+    return explore.flattened(table(spark, folder, "raw_rows"), ["file_id", "row_no"], "payload")
 
 
 @query(f"WITH {_MERGED} SELECT term, min(time_bin) FILTER (rate_per_1k > 0) AS first_bin, arg_max(time_bin, rate_per_1k * 100000 - time_bin / 100000) AS peak_bin, min(rate_per_1k) AS lowest, max(rate_per_1k) AS highest FROM merged GROUP BY 1")
@@ -198,9 +193,9 @@ def state_bubbles(spark: SparkSession, folder: str) -> DataFrame:
     return explore.scaled(explore.counts(reports(spark, folder).where("state <> ''"), "state"), "n_reports")
 
 
-@query()
+@query(f"WITH {R} SELECT source_id, event_year, state FROM reports ORDER BY md5(source_id || ':42'), source_id LIMIT 100")
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """A seeded sample of exact size, the feature itself; DuckDB has no equal hash."""
+    """A seeded sample of exact size, the feature itself."""
     return explore.sampled(reports(spark, folder), 100).select("source_id", "event_year", "state")
 
 
@@ -302,14 +297,18 @@ def geocode_unmatched(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- flaps ---
 
-_FLAP = f"""{R}, r AS (SELECT source_id, state, event_date AS d, city, shape_norm FROM reports WHERE state <> '' AND event_date IS NOT NULL AND year(event_date) >= {LOW.flap_first_year}),
+def _flap(p) -> str:
+    return f"""{R}, r AS (SELECT source_id, state, event_date AS d, city, shape_norm FROM reports WHERE state <> '' AND event_date IS NOT NULL AND year(event_date) >= {p.flap_first_year}),
 base AS (SELECT state, year(d) AS year, count(*) AS annual, count(*) / 52 AS baseline_weekly FROM r GROUP BY 1, 2),
 w AS (SELECT state, cast(date_trunc('week', d) AS DATE) AS week_start, cast(date_trunc('week', d) AS DATE) + 6 AS week_end, count(*) AS reports FROM r GROUP BY 1, 2, 3),
 b AS (SELECT w.state, week_start, week_end, reports, round(baseline_weekly, 2) AS baseline_weekly, round(reports / baseline_weekly, 1) AS ratio FROM w JOIN base ON base.state = w.state AND base.year = year(week_end)
-  WHERE reports >= {LOW.flap_week_gate} AND baseline_weekly >= {LOW.flap_floor} AND reports / baseline_weekly >= {LOW.flap_ratio} AND w.state IN (SELECT state FROM r GROUP BY 1 HAVING count(*) >= {LOW.flap_state_gate})),
-g AS (SELECT *, CASE WHEN week_start <= max(week_end) OVER (PARTITION BY state ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {LOW.flap_gap_days} THEN 0 ELSE 1 END AS fresh FROM b),
+  WHERE reports >= {p.flap_week_gate} AND baseline_weekly >= {p.flap_floor} AND reports / baseline_weekly >= {p.flap_ratio} AND w.state IN (SELECT state FROM r GROUP BY 1 HAVING count(*) >= {p.flap_state_gate})),
+g AS (SELECT *, CASE WHEN week_start <= max(week_end) OVER (PARTITION BY state ORDER BY week_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {p.flap_gap_days} THEN 0 ELSE 1 END AS fresh FROM b),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY state ORDER BY week_start) AS island FROM g),
-f AS (SELECT state, min(week_start) AS "start", max(week_end) AS "end", cast(sum(reports) AS BIGINT) AS flagged_reports, max(ratio) AS peak_ratio, arg_min(baseline_weekly, week_start) AS baseline_weekly FROM i GROUP BY state, island HAVING sum(reports) >= {LOW.flap_min_reports})"""
+f AS (SELECT state, min(week_start) AS "start", max(week_end) AS "end", cast(sum(reports) AS BIGINT) AS flagged_reports, max(ratio) AS peak_ratio, arg_min(baseline_weekly, week_start) AS baseline_weekly FROM i GROUP BY state, island HAVING sum(reports) >= {p.flap_min_reports})"""
+
+
+_FLAP = _flap(LOW)
 _INSIDE = f"""{_FLAP}, x AS (SELECT f.state, f."start", r.* EXCLUDE (state) FROM f JOIN r ON r.state = f.state AND r.d BETWEEN f."start" AND f."end"),
 dd AS (SELECT state, "start", d, count(*) AS n FROM x GROUP BY 1, 2, 3),
 pk AS (SELECT state, "start", arg_max(d, n * 100000000 - (d - DATE '1900-01-01')) AS pd, max(n) AS pn, min(d) AS first, count(*) AS days FROM dd GROUP BY 1, 2),
@@ -473,16 +472,19 @@ def _gram_sql(low: int, high: int) -> str:
     return rf"tok AS (SELECT source_id, list_filter(regexp_extract_all(lower(narrative), '\b[a-z][a-z]+\b'), lambda x: NOT x IN ({stop})) AS w FROM reports), occ AS ({parts})"
 
 
-_SIG = f"""{R}, {_LABELS}, {_gram_sql(2, 3)}, voc AS (SELECT term, count(*) AS total FROM occ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8000),
-kn AS (SELECT archetype, source_id FROM lab SEMI JOIN reports USING (source_id)), sz AS (SELECT archetype, count(*) AS n_reports FROM kn GROUP BY 1 HAVING count(*) >= 3),
-ct AS (SELECT archetype, term, count(*) AS e, count(DISTINCT source_id) AS docs, any_value(total) AS total FROM occ JOIN kn USING (source_id) JOIN sz USING (archetype) JOIN voc USING (term) GROUP BY 1, 2),
-bg AS (SELECT archetype, voc.term, voc.total - coalesce(e, 0) AS b, e, docs, CASE WHEN e IS NOT NULL AND voc.total > e THEN 1 ELSE ln(1.5) + 1 END AS idf FROM sz CROSS JOIN voc LEFT JOIN ct USING (archetype, term)),
+def _sig(group: str, n: int = 20) -> str:
+    """Signatures of the groups in ``known`` (group, source_id)."""
+    return f"""{_gram_sql(2, 3)}, voc AS (SELECT term, count(*) AS total FROM occ GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8000),
+kn AS (SELECT DISTINCT {group}, source_id FROM known SEMI JOIN reports USING (source_id)), sz AS (SELECT {group}, count(*) AS n_reports FROM kn GROUP BY 1 HAVING count(*) >= 3),
+ct AS (SELECT {group}, term, count(*) AS e, count(DISTINCT source_id) AS docs, any_value(total) AS total FROM occ JOIN kn USING (source_id) JOIN sz USING ({group}) JOIN voc USING (term) GROUP BY 1, 2),
+bg AS (SELECT {group}, voc.term, voc.total - coalesce(e, 0) AS b, e, docs, CASE WHEN e IS NOT NULL AND voc.total > e THEN 1 ELSE ln(1.5) + 1 END AS idf FROM sz CROSS JOIN voc LEFT JOIN ct USING ({group}, term)),
 wt AS (SELECT *, CASE WHEN e > 0 THEN (1 + ln(e)) * idf ELSE 0 END AS we, CASE WHEN b > 0 THEN (1 + ln(CASE WHEN b > 0 THEN b END)) * idf ELSE 0 END AS wb FROM bg),
-sc AS (SELECT archetype, term, docs, we / sqrt(sum(we * we) OVER w) - wb / sqrt(sum(wb * wb) OVER w) AS score FROM wt WINDOW w AS (PARTITION BY archetype)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY archetype ORDER BY round(score, 6) DESC, term) AS rn FROM sc WHERE score > 1e-9 AND docs IS NOT NULL)"""
+sc AS (SELECT {group}, term, docs, we / sqrt(sum(we * we) OVER w) - wb / sqrt(sum(wb * wb) OVER w) AS score FROM wt WINDOW w AS (PARTITION BY {group})),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY round(score, 6) DESC, term) AS rn FROM sc WHERE score > 1e-9 AND docs IS NOT NULL),
+sg AS (SELECT {group}, term AS phrase, round(score, 4) AS distinctiveness, docs AS group_count, round(docs * 100 / n_reports, 2) AS rate_pct, n_reports FROM rk JOIN sz USING ({group}) WHERE rn <= {n})"""
 
 
-@query(f"WITH {_SIG} SELECT archetype, term AS phrase, round(score, 4) AS distinctiveness, docs AS group_count, round(docs * 100 / n_reports, 2) AS rate_pct, n_reports FROM rk JOIN sz USING (archetype) WHERE rn <= 20")
+@query(f"WITH {R}, {_LABELS}, known AS (SELECT archetype, source_id FROM lab), {_sig('archetype')} SELECT * FROM sg")
 def ngram_signature(spark: SparkSession, folder: str) -> DataFrame:
     return signatures.signatures(reports(spark, folder), _labels(spark, folder), "archetype")
 
@@ -496,9 +498,9 @@ def class_tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
     return signatures.class_terms(reports(spark, folder), _labels(spark, folder), "archetype")
 
 
-@query()
+@query(f"WITH {R}, {_COVER}, known AS (SELECT event, source_id FROM em), {_sig('event')} SELECT * FROM sg")
 def event_signature(spark: SparkSession, folder: str) -> DataFrame:
-    """The same operator over the catalog's events; ngram_signature holds it against SQL."""
+    """The same operator over the catalog's events."""
     rep = reports(spark, folder)
     return signatures.signatures(rep, events.members(rep, events.catalog(spark)), "event")
 
