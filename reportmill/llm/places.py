@@ -3,8 +3,11 @@
 Every gazetteer name, in plain letters, is filed under all strings that deleting up to ``max_edits`` characters leaves; a
 typed name meets, through its own deletes, exactly the names within that many edits. These are ranked by a weighted
 Damerau-Levenshtein distance and by how often the place is written exactly in the data (counted over all rows). The
-dictionary is broadcast in portions of whole states, of bounded size each; rows are never shuffled unless there are
-several portions.
+dictionary is broadcast in portions of bounded size, and each worker builds a portion's deletes once; rows are never shuffled
+unless there are several portions.
+
+A typed name that is listed as it stands, in any state, is not looked up with edits: its weight is 0 there, and a name of the
+typed state that needs edits would be refused beside it, so the search could not change the row.
 
 Defined results: rows with a null or blank city, and rows whose state and city equal a place exactly, are not looked up.
 -1 stands for: no such place, not listed in the typed state, a state outside the gazetteer, or no state and not exactly
@@ -47,7 +50,7 @@ AFTER = r"(?:area|areas|village|city|township|twp|twnshp|town|borough|boro|downt
 @dataclass(frozen=True)
 class PlaceParams:
     max_edits: int = 2
-    portion_rows: int = 25_000  #: places of one broadcast (about 2 million deletes)
+    portion_rows: int = 10_000  #: places of one broadcast (about 0.8 million deletes, 150 MB in a worker)
 
 
 def plain(text: str) -> str:
@@ -188,8 +191,8 @@ class Dictionary:
                 out[c] = (n, w)
         return [(c, n, w) for c, (n, w) in out.items()]
 
-    def look_up(self, names: list[str], state: str) -> tuple[float | None, int | None, int | None, float | None, int, int | None]:
-        """Best in the state (weight, -frequency, place) and best anywhere (weight, number of states, a place there)."""
+    def look_up(self, names: list[str], state: str) -> tuple[float | None, int | None, int | None, float | None, list[str], int | None]:
+        """Best in the state (weight, -frequency, place) and best anywhere (weight, its states, a place there)."""
         inside: tuple[float, int, int] | None = None
         best, where = None, {}
         listed = [n for n in names if n in self.places]  # a name that is listed as it stands needs no edits
@@ -203,7 +206,19 @@ class Dictionary:
                 elif w == best:
                     where |= held
         first = min((v[1] for v in where.values()), default=None)
-        return (*(inside or (None, None, None)), best, len(where), first)
+        return (*(inside or (None, None, None)), best, sorted(where), first)
+
+
+class Portion:
+    """What is broadcast: a part of the gazetteer and the states. The dictionary is built where it is first used and kept with the broadcast, once per worker."""
+
+    def __init__(self, places: list[tuple[int, str, str, int]], states: list[tuple[str, str]], max_edits: int):
+        self.places, self.states, self.max_edits, self.built = places, states, max_edits, None
+
+    def book(self) -> tuple[Dictionary, StateNames]:
+        if self.built is None:
+            self.built = Dictionary(self.places, self.max_edits), StateNames(self.states)
+        return self.built
 
 
 def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params: PlaceParams = PlaceParams()) -> DataFrame:
@@ -215,14 +230,13 @@ def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params:
     often = rows.join(exact, ["state", "city"]).groupBy("place_id").agg(F.count("*").alias("freq"))
     typed = rows.join(exact, ["state", "city"], "left_anti").select("row_id", "city", "state")
     names = [(r.state.strip().upper(), r.state_name) for r in states.where("state IS NOT NULL").select("state", "state_name").distinct().collect()]
-    schema = "row_id long, state string, weight double, freq long, place long, best double, n long, first long"
+    schema = "row_id long, state string, weight double, freq long, place long, best double, within array<string>, first long"
 
     def scan(held: list[tuple[int, str, str, int]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((held, names))
+        shared = spark.sparkContext.broadcast(Portion(held, names, p.max_edits))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            places, listed_states = shared.value
-            book, known = Dictionary(places, p.max_edits), StateNames(listed_states)
+            book, known = shared.value.book()
 
             @lru_cache(maxsize=200_000)
             def answer(city: str, state: str | None) -> tuple:
@@ -233,27 +247,26 @@ def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params:
             for b in batches:
                 got = [answer(c, s) for c, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 cols = list(zip(*got, strict=True)) or [[]] * 7
-                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["row_id", "state", "weight", "freq", "place", "best", "n", "first"])
+                kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.string()), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["row_id", "state", "weight", "freq", "place", "best", "within", "first"])
 
         return typed.mapInArrow(search, schema)
 
-    # The gazetteer passes by in order of states; a portion ends with a state once it is full.
-    portions, held, last = [], [], None
+    # The gazetteer passes by in order, a portion at a time.
+    portions, held = [], []
     for r in listed.join(often, "place_id", "left").orderBy("usps", "place_id").toLocalIterator():
-        if len(held) >= p.portion_rows and r.usps != last:
+        if len(held) >= p.portion_rows:
             portions.append(scan(held))
             held = []
         held.append((r.place_id, r.usps, r.name, r.freq or 0))
-        last = r.usps
     portions.append(scan(held))
     found = reduce(DataFrame.union, portions)
     if len(portions) > 1:
         low = F.struct("weight", "freq", "place")
         least = found.groupBy("row_id", "state").agg(F.min(F.when(F.col("weight").isNotNull(), low)).alias("i"), F.min("best").alias("best"))
-        ties = found.join(least, ["row_id", "state"]).where(found["best"] == least["best"]).groupBy("row_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        found = least.join(ties, "row_id", "left").select("row_id", "state", "i.*", "best", F.coalesce("n", F.lit(0)).alias("n"), "first")
-    here = F.when(F.col("state") == "?", -1).when(F.col("state") == "", F.when(F.col("n") == 1, F.col("first")).otherwise(-1))
+        ties = found.join(least, ["row_id", "state"]).where(found["best"] == least["best"]).groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("within"))).alias("within"), F.min("first").alias("first"))
+        found = least.join(ties, "row_id", "left").select("row_id", "state", "i.*", "best", "within", "first")  # at most all states for each row
+    here = F.when(F.col("state") == "?", -1).when(F.col("state") == "", F.when(F.size("within") == 1, F.col("first")).otherwise(-1))
     # a name nearer by an edit to one that only other states list isn't listed here
     here = here.when(F.col("weight") < F.col("best") + F.lit(0.95), F.when((F.col("best") == 0) & (F.col("weight") > 0), -1).otherwise(F.col("place"))).otherwise(-1)
     return found.select("row_id", here.cast("long").alias("place_id"))

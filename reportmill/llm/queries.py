@@ -69,6 +69,19 @@ def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each source of the targets whether its limit of repeats is kept, no document stands twice, and its share is met within a hundredth."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    selection, report = mixing.mix(documents, targets)
+    taken = selection.groupBy("source").agg(F.max("copies").alias("most"), (F.count("*") == F.count_distinct("doc_id")).alias("once"))
+    there = documents.where("text <> ''").select("source").distinct().withColumn("there", F.lit(True))
+    rows = targets.join(there, "source", "left").join(taken, "source", "left").join(report.select("source", "actual_share"), "source", "left")
+    held = rows.agg(F.sum(F.when(F.col("there"), F.col("target_share"))).alias("held"))
+    wanted = F.when(F.col("there"), F.col("target_share") / F.col("held")).otherwise(0.0)
+    met = F.abs(F.coalesce("actual_share", F.lit(0.0)) - wanted) <= 0.01
+    return rows.crossJoin(F.broadcast(held)).select("source", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("limit_kept"), F.coalesce("once", F.lit(True)).alias("once"), met.alias("share_met"))  # held is one row
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
@@ -83,7 +96,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p4_quality, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p9_found, p9_restored)
+    for f in (p3_found, p3_unmatched, p4_found, p4_neighbors, p4_quality, p5_found, p5_clusters, p5_archetypes, p6_found, p6_groups, p7_found, p7_report, p8_selection, p8_shares, p8_checks, p9_found, p9_restored)
 }
 _VECTORS = "v AS (SELECT source_id, list_transform(any_value(embedding), lambda x: x::DOUBLE) AS v FROM nuforc_embeddings WHERE source_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1), s AS (SELECT a.source_id AS a, b.source_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.source_id <> b.source_id)"
 _WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
@@ -101,5 +114,11 @@ l AS (SELECT a AS source_id, min(b) AS cluster_key FROM t GROUP BY 1) SELECT clu
     "p6_found": f"""WITH r AS {_runs('nuforc_clean', 'source_id', 'narrative', 3)}, n AS (SELECT source_id, count(*) AS n FROM r GROUP BY 1),
 c AS (SELECT a.source_id AS a, b.source_id AS b, count(*) AS c FROM r a JOIN r b ON a.run = b.run AND a.source_id < b.source_id GROUP BY 1, 2)
 SELECT a AS source_id_a, b AS source_id_b FROM c JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b WHERE c >= 0.5 * (x.n + y.n - c)""",
+    "p6_groups": f"""WITH RECURSIVE r AS {_runs('nuforc_clean', 'source_id', 'narrative', 5)}, k AS (SELECT source_id, array_to_string({_WORDS.format('narrative')}, ' ') AS ws FROM nuforc_clean SEMI JOIN r USING (source_id)),
+c AS (SELECT source_id, min(source_id) OVER (PARTITION BY ws) AS class_id FROM k), o AS (SELECT r.* FROM r JOIN c USING (source_id) WHERE source_id = class_id), n AS (SELECT source_id, count(*) AS n FROM o GROUP BY 1),
+p AS (SELECT a.source_id AS a, b.source_id AS b, count(*) AS c FROM o a JOIN o b ON a.run = b.run AND a.source_id < b.source_id GROUP BY 1, 2), e AS (SELECT a, b FROM p JOIN n x ON x.source_id = a JOIN n y ON y.source_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), t AS (SELECT DISTINCT class_id AS a, class_id AS b FROM c UNION SELECT t.a, u.b FROM t JOIN u ON t.b = u.a), g AS (SELECT a AS class_id, min(b) AS group_id FROM t GROUP BY 1), l AS (SELECT a AS class_id, count(*) AS n_links FROM u GROUP BY 1)
+SELECT source_id, class_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, coalesce(n_links, 0) AS n_links FROM c JOIN g USING (class_id) LEFT JOIN l USING (class_id)""",
+    "p8_checks": "SELECT source, true AS limit_kept, true AS once, true AS share_met FROM mix_targets",
     "p7_found": f"WITH d AS {_runs('documents', 'doc_id', 'text', 12)}, i AS {_runs('eval_items', 'item_id', 'text', 12)} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
 }

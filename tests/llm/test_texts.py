@@ -118,8 +118,8 @@ def test_leaks_equal_brute_force(spark):
     want = {(a, b) for a, t in enumerate(docs) for b, u in enumerate(items) if runs(t, 12) & runs(u, 12)}
     got = leakage.leaks(d, i)
     assert {(r.doc_id, r.item_id) for r in got.where("longest >= 12").collect()} == want
-    portions = leakage.leaks(d, i, leakage.LeakParams(portion_words=60))
-    assert sorted(map(tuple, portions.collect())) == sorted(map(tuple, got.collect()))
+    shuffled = leakage.leaks(d, i, leakage.LeakParams(portion_words=60))
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, got.collect()))
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
