@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reportmill.operators import drift, instants
 from reportmill.runtime import table
@@ -12,12 +13,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(table(spark, folder, "raw_rows")).select("file_id", "field_name", "change_kind").distinct()
 
 
+def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The migration steps of each version, as text."""
+    return drift.versions(table(spark, folder, "raw_rows")).select("feed", "file_id", "version", "steps")
+
+
 def p1_versions(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.versions(table(spark, folder, "raw_rows"))
+    return drift.versions(table(spark, folder, "raw_rows")).drop("steps")
 
 
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unified(table(spark, folder, "raw_rows"))
+    """All lines under the canonical columns; coordinates to six places."""
+    out = drift.unified(table(spark, folder, "raw_rows"))
+    return out.select("file_id", "row_no", *[F.round(c, 6).alias(c) if c in ("latitude", "longitude") else c for c in drift.CANONICAL])
+
+
+def p1_other_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What lines hold beside the canonical columns."""
+    return drift.unified(table(spark, folder, "raw_rows")).select("file_id", "row_no", F.explode("other_fields").alias("field_name", "value"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,20 +38,37 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("utc_seconds IS NOT NULL").select("row_id", "field_name", "utc")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_unified, p2_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_steps, p1_unified, p1_other_fields, p2_found)}
 _KIND = "CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END"
-_FIELD = "CASE " + " ".join(f"WHEN regexp_full_match(plain, '{rule}') THEN '{field}'" for field, rule in drift.HEADER_RULES.items()) + " ELSE header END"
+#: Headers in circulation, trimmed and in small letters, by field. The SQL reads headers by this list alone.
+_HEADERS = {
+    "report_no": "id|sighting|report_no", "datetime": "datetime|date_time|occurred|occurred_at", "city": "city|town", "state": "state", "country": "country", "shape": "shape|shape_reported",
+    "duration_seconds": "duration (seconds)|duration_seconds", "duration_hours": "duration|duration (hours/min)", "comments": "comments|text|narrative|report text|witness_comments",
+    "date_posted": "posted|date posted|date_posted", "latitude": "latitude|lat|city_latitude", "longitude": "longitude|long|lon|long_dd|city_longitude|longitude_deg|place longitude",
+}
+_LIST = ", ".join(f"('{h}', '{f}')" for f, heads in _HEADERS.items() for h in heads.split("|"))
+_FIELDS = rf"""l(head, field) AS (VALUES {_LIST}), e AS (SELECT feed, file_seq, file_id, row_no, payload::JSON AS j, unnest(json_keys(payload::JSON)) AS header FROM raw_rows WHERE json_valid(payload)),
+h AS (SELECT e.*, coalesce(l.field, header) AS field_name, json_extract(j, '$."' || header || '"') AS v, json_type(json_extract(j, '$."' || header || '"')) AS t FROM e LEFT JOIN l ON l.head = trim(lower(header))),
+hk AS (SELECT *, {_KIND} AS kind FROM h),
+n AS (SELECT file_id, field_name, header, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, header) AS rn FROM hk GROUP BY 1, 2, 3),
+m AS (SELECT file_id, field_name, kind, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, kind) AS rn FROM hk WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
+na AS (SELECT file_id, field_name, string_agg(header, '|' ORDER BY rn) AS headers FROM n GROUP BY 1, 2),
+ff AS (SELECT n.file_id, n.field_name, n.header, na.headers, m.kind FROM n JOIN na USING (file_id, field_name) LEFT JOIN m ON n.file_id = m.file_id AND n.field_name = m.field_name AND m.rn = 1 WHERE n.rn = 1),
+fo AS (SELECT feed, file_seq, file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY file_seq, file_id) AS prev_id FROM (SELECT DISTINCT feed, file_seq, file_id FROM raw_rows)),
+now AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff USING (file_id) WHERE prev_id IS NOT NULL), old AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff ON ff.file_id = fo.prev_id),
+b AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field_name, old.field_name) AS field_name, now.header AS h1, old.header AS h0, now.kind AS k1, old.kind AS k0 FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field_name = old.field_name),
+ch AS (SELECT file_id, field_name, 'added' AS change_kind FROM b WHERE h0 IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM b WHERE h1 IS NULL
+UNION ALL SELECT file_id, field_name, 'renamed' FROM b WHERE h0 <> h1 UNION ALL SELECT file_id, field_name, 'type_changed' FROM b WHERE k0 <> k1)"""
+_TEXT = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN NULL WHEN json_type({0}) = 'VARCHAR' THEN json_extract_string({0}, '$') ELSE cast({0} AS VARCHAR) END"
+_PLAIN = ("report_no", "datetime", "city", "state", "country", "shape", "duration_hours", "date_posted")
 SQL: dict[str, str] = {
-    "p1_found": rf"""WITH e AS (SELECT feed, file_seq, file_id, payload::JSON AS j, unnest(json_keys(payload::JSON)) AS header FROM raw_rows WHERE json_valid(payload)),
-k AS (SELECT *, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS plain, json_type(json_extract(j, '$."' || header || '"')) AS t FROM e),
-h AS (SELECT feed, file_seq, file_id, header, {_FIELD} AS field_name, {_KIND} AS kind FROM k),
-n AS (SELECT file_id, field_name, header, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, header) AS rn FROM h GROUP BY 1, 2, 3),
-m AS (SELECT file_id, field_name, kind, row_number() OVER (PARTITION BY file_id, field_name ORDER BY count(*) DESC, kind) AS rn FROM h WHERE kind IS NOT NULL GROUP BY 1, 2, 3),
-ff AS (SELECT n.file_id, n.field_name, n.header, m.kind FROM n LEFT JOIN m ON n.file_id = m.file_id AND n.field_name = m.field_name AND m.rn = 1 WHERE n.rn = 1),
-fo AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY file_seq, file_id) AS prev_id FROM (SELECT DISTINCT feed, file_seq, file_id FROM raw_rows)),
-now AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff USING (file_id) WHERE prev_id IS NOT NULL),
-old AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff ON ff.file_id = fo.prev_id),
-b AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field_name, old.field_name) AS field_name, now.header AS h1, old.header AS h0, now.kind AS k1, old.kind AS k0 FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field_name = old.field_name)
-SELECT file_id, field_name, 'added' AS change_kind FROM b WHERE h0 IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM b WHERE h1 IS NULL
-UNION ALL SELECT file_id, field_name, 'renamed' FROM b WHERE h0 <> h1 UNION ALL SELECT file_id, field_name, 'type_changed' FROM b WHERE k0 <> k1""",
+    "p1_found": f"WITH {_FIELDS} SELECT * FROM ch",
+    "p1_versions": f"""WITH {_FIELDS}, fp AS (SELECT file_id, sha256(string_agg(field_name || chr(9) || headers || chr(9) || coalesce(kind, '-'), chr(10) ORDER BY field_name)) AS fingerprint, count(*) AS n_fields FROM ff GROUP BY 1),
+v AS (SELECT feed, file_seq, file_id, coalesce(fingerprint, sha256('')) AS fingerprint, coalesce(n_fields, 0) AS n_fields FROM fo LEFT JOIN fp USING (file_id)), w AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER (PARTITION BY feed ORDER BY file_seq, file_id) THEN 0 ELSE 1 END AS moved FROM v)
+SELECT feed, file_id, file_seq, fingerprint, cast(sum(moved) OVER (PARTITION BY feed ORDER BY file_seq, file_id) AS BIGINT) AS version, n_fields FROM w""",
+    "p1_unified": f"""WITH {_FIELDS}, x AS (SELECT hk.file_id, hk.row_no, hk.field_name, arg_min({_TEXT.format('v')}, n.rn) AS s FROM hk JOIN n USING (file_id, field_name, header) WHERE t <> 'NULL' GROUP BY 1, 2, 3),
+y AS (SELECT file_id, row_no, {', '.join(f"max(s) FILTER (field_name = '{c}') AS {c}" for c in (*_PLAIN, 'duration_seconds', 'comments', 'latitude', 'longitude'))} FROM x GROUP BY 1, 2)
+SELECT r.file_id, r.row_no, {', '.join(_PLAIN)}, try_cast(trim(duration_seconds) AS DOUBLE) AS duration_seconds,
+CASE WHEN comments LIKE '[%' AND json_valid(comments) THEN array_to_string(from_json(comments, '["VARCHAR"]'), ' ') WHEN comments LIKE '{{%' AND json_valid(comments) THEN coalesce(json_extract_string(comments, '$.body'), comments) ELSE comments END AS comments,
+{', '.join(f"round(CASE WHEN {c} LIKE '[%' THEN cast({c} ->> 0 AS DOUBLE) + CASE WHEN cast({c} ->> 0 AS DOUBLE) < 0 THEN -1 ELSE 1 END * coalesce(try_cast({c} ->> 1 AS DOUBLE), 0) / 60 WHEN {c} LIKE '{{%' THEN try_cast({c} ->> 'deg' AS DOUBLE) ELSE try_cast(trim({c}) AS DOUBLE) END, 6) AS {c}" for c in ('latitude', 'longitude'))} FROM raw_rows r LEFT JOIN y USING (file_id, row_no)""",
 }

@@ -571,7 +571,11 @@ def archetype_profile(spark: SparkSession, folder: str) -> DataFrame:
     return archetypes.profiles(_labels(spark, folder), reports(spark, folder), table(spark, folder, "nuforc_embeddings"))
 
 
-@query()
+_LINE = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x{{00a0}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"""SELECT row_id, {_LINE.format('datetime')} AS occurred, '' AS reported, {_LINE.format('date_posted')} AS posted, '' AS location, {_LINE.format('shape')} AS shape, {_LINE.format('duration_hours')} AS duration, '' AS characteristics,
+array_to_string(list_filter(list_transform(string_split(coalesce(comments, ''), chr(10)), lambda x: {_LINE.format('x')}), lambda x: x <> ''), chr(10)) AS narrative FROM nuforc""")
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every report as a detail page and back: labels and narrative must survive."""
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "&", "&amp;"), "<", "&lt;")

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Labels of a detail page.
 LABELS = ("Occurred", "Reported", "Posted", "Location", "Shape", "Duration", "Characteristics")
@@ -114,7 +115,8 @@ def parse_index(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.select(column).mapInPandas(parse, schema)
 
 
-def parse_details(pages: DataFrame, key: str = "sighting_id", column: str = "html") -> DataFrame:
+def parse_details(pages: DataFrame, key: str = "sighting_id", column: str = "html", stamp: bool = False) -> DataFrame:
+    """(key, the labelled values, narrative) of each detail page; with ``stamp`` also ``scraped_at``, the time of the run as ISO-8601 in UTC."""
     names = [x.lower() for x in LABELS] + ["narrative"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,4 +124,6 @@ def parse_details(pages: DataFrame, key: str = "sighting_id", column: str = "htm
             rows = [detail_fields(h) for h in b[column]]
             yield pd.DataFrame({key: b[key], **{n: [r[n] for r in rows] for n in names}})
 
-    return pages.select(key, column).mapInPandas(parse, f"{key} long, " + ", ".join(f"{n} string" for n in names))
+    out = pages.select(key, column).mapInPandas(parse, f"{key} long, " + ", ".join(f"{n} string" for n in names))
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return out.withColumn("scraped_at", now) if stamp else out
