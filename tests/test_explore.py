@@ -25,17 +25,50 @@ def test_sample_is_exact_and_the_same_however_partitioned(spark):
     assert len(a) == 50 and a == {r.source_id for r in explore.sampled(df.coalesce(1), 50).collect()}
 
 
-def test_router_takes_the_first_table_that_knows_the_word(spark):
-    t = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
-    tables = [("state", t("TX", None), "v", True), ("shape", t("light"), "v", True), ("event", t("Phoenix Lights"), "v", False)]
-    assert [tuple(r) for r in explore.routed(" LIGHT", tables).collect()] == [("shape", "light")]
-    assert [tuple(r) for r in explore.routed("lights", tables).collect()] == [("event", "Phoenix Lights")]
-    assert explore.routed("zzz", tables).count() == 0
-
-
-def test_flatten(spark):
-    df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": "x", "d": 2}}'), (2, None), (3, "bad")], "id int, j string")
-    assert sorted((r.id, r.path, r.value) for r in explore.flattened(df, "id", "j").collect()) == [(1, "a", "1"), (1, "b.c", "x"), (1, "b.d", "2")]
+def test_router_takes_the_first_stage_that_knows_the_word(spark):
+    t = lambda *v: spark.createDataFrame([(x, x) for x in v], "label string, term string")
+    stages = [("state", t("TX", None), True), ("shape", t("light", "orb"), True), ("event", t("Phoenix Lights", "Night Lights"), False), ("term", t("orb of light"), False)]
+    got = {r.keyword: (r.kind, r.label) for r in explore.routed([" LIGHT", "lights", "orb", "of light", "zzz", " ", "tx"], stages).collect()}
+    assert got == {" LIGHT": ("shape", "light"), "lights": ("event", "Night Lights"), "orb": ("shape", "orb"), "of light": ("term", "orb of light"), "tx": ("state", "TX")}
+
+
+def test_router_knows_years_within_bounds_only(spark):
+    t = lambda *v: spark.createDataFrame([(x, x) for x in v], "label string, term string")
+    none = t().withColumn("exact", F.lit(True))
+    stages = explore.router_stages(t("TX"), t("orb"), none, t("1890", "1999", "2024"), t("Wave"), t("saucer"), t("Wave"))
+    got = {r.keyword: r.kind for r in explore.routed(["1999", "1890", "2024", "sauc"], stages).collect()}
+    assert got == {"1999": "year", "sauc": "term"}
+
+
+def test_flatten_follows_any_depth(spark):
+    rows = [(1, '{"a": 1, "b": {"c": {"d": "x", "e": [1.5, {"f": true}, null]}}, "g": 2.0}', 9), (2, None, 9), (3, "bad", 9), (4, '["u", [7]]', 9), (5, "3", 9), (6, "{}", 9), (7, "", 9)]
+    got = explore.flattened(spark.createDataFrame(rows, "id int, j string, path int"), ["id"], "j").collect()
+    assert [(r.path, r.value) for r in got if r.id == 1] == [("a", "1"), ("b.c.d", "x"), ("b.c.e[0]", "1.5"), ("b.c.e[1].f", "true"), ("b.c.e[2]", "null"), ("g", "2")]
+    assert [(r.path, r.value) for r in got if r.id == 4] == [("[0]", "u"), ("[1][0]", "7")] and {r.id for r in got} == {1, 4}
+    many = spark.createDataFrame([(1, str(list(range(50))))], "id int, j string")
+    assert explore.flattened(many, ["id"], "j").count() == 40
+    deep = spark.createDataFrame([(1, "[" * 900 + "1" + "]" * 900)], "id int, j string")
+    assert explore.flattened(deep, ["id"], "j").first().path == "[0]" * 900
+
+
+def test_phrases_meet_events_by_name(spark):
+    cat = events.catalog(spark, (("Big Wave (1990)", "1990-01-01", "1990-01-02", None, None, ["red light"], "x"), ("Wave of Orbs", "1991-01-01", "1991-01-02", None, None, ["orb", "none"], "x"), ("Quiet Town", "1992-01-01", "1992-01-02", None, None, [], "y")))
+    sig = spark.createDataFrame([("Wave of Orbs", "bright ORB here", 0.5), ("Wave of Orbs", "a phrase", 0.7), ("Big Wave (1990)", "red light", 0.2), ("Bigger thing", "x", 0.9)], "event string, phrase string, distinctiveness double")
+    got = {r.event: tuple(r)[1:] for r in events.phrases_met(sig, cat).collect()}
+    # the first two words name the signature; the catalog's order decides between several
+    assert got == {"Big Wave (1990)": (True, 1, "red light", 0.2), "Wave of Orbs": (True, 0, "red light", 0.2), "Quiet Town": (False, 0, "", 0.0)}
+
+
+def test_verdicts(spark):
+    m = spark.createDataFrame([("a", "PASS"), ("a", "MISS"), ("b", "PARTIAL")], "kind string, status string")
+    assert {r.kind: (r.n_events, r.passed, r.partial, r.missed, r.pct_passed) for r in events.verdicts(m).collect()} == {"a": (2, 1, 0, 1, 50.0), "b": (1, 0, 1, 0, 0.0), None: (3, 1, 1, 1, 33.3)}
+
+
+def test_places_in_an_order_of_many_partitions(spark):
+    df = spark.createDataFrame([(f"s{k:03d}", k * 37 % 101 if k % 9 else None) for k in range(100)], "source_id string, v int").repartition(7)
+    got = sorted((r.place, r.v, r.source_id) for r in explore.listed(df, "v").collect())
+    assert [p for p, _, _ in got] == list(range(100)) and [v for _, v, _ in got] == sorted((v for _, v, _ in got), key=lambda v: (v is None, v))
+    assert explore.listed(df.limit(0), "v").count() == 0
 
 
 def test_event_members_and_missing_events(spark):

@@ -113,10 +113,17 @@ def test_windows_of_records(spark):
 
 
 def test_incident_fields(spark):
-    names = [("virginia", "VA"), ("west virginia", "WV"), ("texas", "TX")]
-    df = spark.createDataFrame([("6/1/47", "Roswell, TX"), ("N/A", "somewhere in West Virginia"), ("7/4/26", "near TX line"), (None, None)], "d string, l string")
-    got = df.select(crossref.incident_date(F.col("d")), crossref.incident_state(F.col("l"), names)).collect()
-    assert [tuple(r) for r in got] == [(date(1947, 6, 1), "TX"), (None, "VA"), (date(2026, 7, 4), "TX"), (None, None)]
+    names = [("virginia", "VA"), ("west virginia", "WV"), ("texas", "TX"), ("indiana", "IN"), ("oregon", "OR")]
+    want = [
+        ("6/1/47", date(1947, 6, 1), "Roswell, TX", "Roswell", "TX"), ("N/A", None, "somewhere in West Virginia", "Somewhere In West", "VA"), ("7/4/26", date(2026, 7, 4), "near TX line", "", ""),
+        ("12/30/1947", date(1947, 12, 30), "Man in a field", "", ""), ("1947-12-30", date(1947, 12, 30), "Kabul, Afghanistan, or nearby", "", ""), ("March 5, 2019", date(2019, 3, 5), "Syria, in the desert", "", ""),
+        ("2019-03-05 10:20:30", date(2019, 3, 5), "o'hare, texas", "O'Hare", "TX"), ("13/45/99", None, "Austin, TX, USA", "Austin, USA", "TX"), ("", None, "camp TX", "camp", "TX"), (None, None, None, "", ""),
+        ("soon", None, "Springfield, or", "", ""),
+    ]
+    df = spark.createDataFrame([(k, r[0], r[2]) for k, r in enumerate(want)], "k int, d string, l string")
+    got = df.select("k", crossref.incident_date(F.col("d")), *crossref.incident_place(F.col("l"), names), crossref.incident_state(F.col("l"), names)).orderBy("k").collect()
+    assert [tuple(r)[1:4] for r in got] == [(r[1], r[3], r[4]) for r in want]
+    assert [r[4] for r in got] == [r[4] or None for r in want]
 
 
 def test_vocabulary_merges_add_rates(spark):

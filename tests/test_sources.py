@@ -76,3 +76,57 @@ def test_stream_gives_the_weeks_of_the_table(spark, folder, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got <= {tuple(r) for r in last.collect()}
     assert bursts.alerts(last, last.groupBy("event_type").avg("reports").toDF("event_type", "baseline_weekly"), ratio=1.0).count() > 0
+
+
+def test_encoding_is_decided_by_every_line_of_every_file(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.csv").write_bytes(b"city\n" + b"plain town\n" * 120_000 + "Köln\n".encode("latin-1"))
+    (tmp_path / "d" / "b.csv").write_text("city\nZürich\n", encoding="utf-8")
+    (tmp_path / "d" / "c d.csv").write_bytes("city\nMünchen\n".encode("latin-1"))
+    got = {r.city for r in readers.csv(spark, str(tmp_path / "d")).distinct().collect()}
+    assert got == {"plain town", "Köln", "Zürich", "München"}
+    latin, utf8 = readers.encodings(spark, str(tmp_path / "d"))
+    assert [f.rsplit("/")[-1] for f in latin] == ["a.csv", "c d.csv"] and [f.rsplit("/")[-1] for f in utf8] == ["b.csv"]
+
+
+def test_a_table_is_not_written_where_it_is_read(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    writers.parquet(df, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="read and written"):
+        writers.parquet(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"))
+    writers.parquet(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t2"))
+    assert spark.read.parquet(str(tmp_path / "t2")).count() == 1
+
+
+def test_guards(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="missing"):
+        readers.required(spark, str(tmp_path / "none"))
+    df = spark.createDataFrame([("a",)], "k string")
+    assert readers.nonempty(df, "cleaning") is df
+    with pytest.raises(ValueError, match="cleaning"):
+        readers.nonempty(df.limit(0), "cleaning")
+
+
+def test_provenance_of_large_files_and_rows(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    small_ = writers.provenance(spark, str(tmp_path / "x.bin")).first()
+    monkeypatch.setattr(writers, "ONE_VALUE", 1)
+    rows = spark.createDataFrame([("a", 1)], "k string, v int")
+    large = writers.provenance(spark, str(tmp_path / "x.bin"), rows).first()
+    assert (large.sha256, large.bytes, large.n_rows, large.schema) == (small_.sha256, 3, 1, "struct<k:string,v:int>") and small_.n_rows is None and large.acquired_at
+
+
+def test_cached_views_expire(spark):
+    made = [spark.createDataFrame([(k,)], "v int") for k in range(3)]
+    assert readers.cached_view(made[0], "kept", 60).first().v == 0 and readers.cached_view(made[1], "kept", 60).first().v == 0
+    assert readers.cached_view(made[2], "kept", 0).first().v == 2 and spark.table("kept").first().v == 2
+
+
+def test_work_lists(spark):
+    ids = spark.createDataFrame([(k % 10,) for k in range(30)] + [(None,)], "id int")
+    assert [r.id for r in readers.work_list(ids, "id", 4, 3).collect()] == [4, 5, 6] and readers.work_list(ids, "id").count() == 11
+
+
+def test_details_can_be_stamped(spark):
+    row = html.parse_details(spark.createDataFrame([(1, DETAIL)], "sighting_id long, html string"), stamp=True).first()
+    assert row.shape == "Disk" and pd.Timestamp(row.scraped_at).tzname() == "UTC"
