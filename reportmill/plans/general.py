@@ -59,9 +59,40 @@ now AS (SELECT fo.file_id, ff.field_name, header, kind FROM fo JOIN ff USING (fi
 b AS (SELECT coalesce(now.file_id, old.file_id) AS file_id, coalesce(now.field_name, old.field_name) AS field_name, now.header AS h1, old.header AS h0, now.kind AS k1, old.kind AS k0 FROM now FULL JOIN old ON now.file_id = old.file_id AND now.field_name = old.field_name),
 ch AS (SELECT file_id, field_name, 'added' AS change_kind FROM b WHERE h0 IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM b WHERE h1 IS NULL
 UNION ALL SELECT file_id, field_name, 'renamed' FROM b WHERE h0 <> h1 UNION ALL SELECT file_id, field_name, 'type_changed' FROM b WHERE k0 <> k1)"""
+#: Forms of local times, and of dates that stand alone, in the order they are tried; months before days.
+_TIMES = (
+    "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y%m%dT%H%M%S", "%m/%d/%Y %H:%M", "%d/%m/%Y %H:%M", "%m/%d/%Y %I:%M %p", "%B %d, %Y %I:%M %p", "%b %d, %Y %I:%M %p",
+    "%d %B %Y %H:%M", "%d %b %Y %H:%M", "%d %b %Y %H:%M:%S", "%m.%d.%Y %H:%M", "%d.%m.%Y %H:%M",
+)
+_DAYS = ("%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y%m%d")
+
+
+def _forms(forms: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{f}'" for f in forms) + "]"
+
+
+#: Instants by lists of time forms and the zone tables of the other engine.
+_INSTANTS = rf"""f AS (SELECT row_id, 'datetime' AS field_name, datetime AS raw, (SELECT any_value(tz) FROM state_centroid c WHERE c.state = upper(trim(nuforc.state))) AS home FROM nuforc
+  UNION ALL SELECT row_id, 'date_posted', date_posted, 'America/Los_Angeles' FROM nuforc),
+p AS (SELECT *, trim(regexp_replace(raw, '[\s\x{{00a0}}]+', ' ', 'g')) AS x FROM f WHERE raw IS NOT NULL),
+q AS (SELECT *, regexp_extract(x, ' (Local|Pacific|Eastern|Central|Mountain|UTC|GMT|[ECMP][SD]T)$', 1) AS word, CASE WHEN contains(x, ':') OR contains(x, 'T') THEN regexp_extract(x, '(?:\d| )(Z|[+-]\d\d:?\d\d)$', 1) ELSE '' END AS off FROM p),
+r AS (SELECT *, trim(left(x, len(x) - len(word) - len(off))) AS b0 FROM q),
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b0, '(:\d\d)\.\d+$', '\1'), '( hrs|h)$', ''), '(,| at) (\d+:\d+)$', ' \2'), '^[A-Z][a-z]{{2}}, ', '') AS b1 FROM r),
+t AS (SELECT *, CASE WHEN regexp_matches(b1, '^\d+/\d+/\d\d( |$)') THEN regexp_replace(b1, '^(\d+/\d+/)(\d\d)', '\1' || CASE WHEN try_cast(regexp_extract(b1, '^\d+/\d+/(\d\d)', 1) AS INT) <= 29 THEN '20' ELSE '19' END || '\2') ELSE b1 END AS b FROM s),
+u AS (SELECT *, coalesce(try_strptime(b, {_forms(_TIMES)}), CASE WHEN field_name = 'date_posted' AND word = '' AND off = '' THEN try_strptime(b, {_forms(_DAYS)}) END) AS wall,
+  CASE word WHEN 'Eastern' THEN 'America/New_York' WHEN 'Central' THEN 'America/Chicago' WHEN 'Mountain' THEN 'America/Denver' WHEN 'Pacific' THEN 'America/Los_Angeles' WHEN 'UTC' THEN 'UTC' WHEN 'GMT' THEN 'UTC'
+    ELSE CASE WHEN word IN ('', 'Local') AND off = '' THEN home END END AS zone,
+  CASE WHEN off = 'Z' THEN 0 WHEN off <> '' THEN (CASE WHEN off[1] = '-' THEN -1 ELSE 1 END) * (cast(off[2:3] AS INT) * 60 + cast(right(off, 2) AS INT))
+    WHEN regexp_matches(word, '^[ECMP][SD]T$') THEN -60 * (CASE word[1] WHEN 'E' THEN 5 WHEN 'C' THEN 6 WHEN 'M' THEN 7 ELSE 8 END - CASE WHEN word[2] = 'D' THEN 1 ELSE 0 END) END AS minutes FROM t),
+v AS (SELECT *, CASE WHEN minutes IS NULL THEN epoch(timezone(zone, wall)) END AS e FROM u),
+w AS (SELECT *, CASE WHEN timezone(zone, to_timestamp(e)) = wall AND timezone(zone, to_timestamp(e + 3600)) <> wall AND timezone(zone, to_timestamp(e - 3600)) <> wall THEN e END AS sure FROM v),
+y AS (SELECT row_id, field_name, CASE WHEN regexp_matches(x, '^-?\d{{9,10}}$') THEN try_cast(x AS BIGINT) WHEN regexp_matches(x, '^-?\d{{11,13}}$') THEN cast(floor(try_cast(x AS BIGINT) / 1000) AS BIGINT)
+  WHEN minutes IS NOT NULL THEN cast(epoch(wall) AS BIGINT) - minutes * 60 ELSE cast(sure AS BIGINT) END AS seconds FROM w)
+SELECT row_id, field_name, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM y WHERE seconds IS NOT NULL"""
 _TEXT = "CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN NULL WHEN json_type({0}) = 'VARCHAR' THEN json_extract_string({0}, '$') ELSE cast({0} AS VARCHAR) END"
 _PLAIN = ("report_no", "datetime", "city", "state", "country", "shape", "duration_hours", "date_posted")
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_INSTANTS}",
     "p1_found": f"WITH {_FIELDS} SELECT * FROM ch",
     "p1_versions": f"""WITH {_FIELDS}, fp AS (SELECT file_id, sha256(string_agg(field_name || chr(9) || headers || chr(9) || coalesce(kind, '-'), chr(10) ORDER BY field_name)) AS fingerprint, count(*) AS n_fields FROM ff GROUP BY 1),
 v AS (SELECT feed, file_seq, file_id, coalesce(fingerprint, sha256('')) AS fingerprint, coalesce(n_fields, 0) AS n_fields FROM fo LEFT JOIN fp USING (file_id)), w AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER (PARTITION BY feed ORDER BY file_seq, file_id) THEN 0 ELSE 1 END AS moved FROM v)
