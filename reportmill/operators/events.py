@@ -1,4 +1,4 @@
-"""Reports, clusters, bursts and phrases against a catalog of known events. The catalog is bounded; it is broadcast."""
+"""Reports, clusters, bursts and phrases against a catalog of known events. A catalog is broadcast while it is small."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reportmill.runtime import small
+
 #: Name, first and last day, states (None: any), expected shape, expected phrases, kind.
 CATALOG = (
     ("Phoenix Lights (1997)", "1997-03-10", "1997-03-20", ["AZ", "NV"], "triangle", ["phoenix lights", "white lights", "air force"], "unexplained"),
@@ -33,7 +35,7 @@ def catalog(spark: SparkSession, rows: tuple = CATALOG) -> DataFrame:
 
 def members(reports: DataFrame, events: DataFrame) -> DataFrame:
     """(event, source_id, state, shape_norm): reports within an event's days and, if it names any, its states."""
-    e = F.broadcast(events.select("event", "start", "end", F.col("states").alias("listed")))
+    e = small(events.select("event", "start", "end", F.col("states").alias("listed")))
     on = F.col("event_date").between(F.col("start"), F.col("end")) & (F.col("listed").isNull() | F.expr("array_contains(listed, state)"))
     return reports.join(e, on).select("event", "source_id", "state", "shape_norm")
 
@@ -49,7 +51,7 @@ def coverage(reports: DataFrame, events: DataFrame) -> DataFrame:
 
 def clusters_met(clusters: DataFrame, reports: DataFrame, events: DataFrame) -> DataFrame:
     """(event, cluster_count, cluster_max_size): clusters dated within an event count if any member of any of them is in a listed state."""
-    e = F.broadcast(events.select("event", "start", "end", F.col("states").alias("listed")))
+    e = small(events.select("event", "start", "end", F.col("states").alias("listed")))
     m = clusters.join(reports.select("source_id", "state"), "source_id").join(e, F.col("event_date").between(F.col("start"), F.col("end")))
     size = m.groupBy("event", "event_date", "cluster_key").agg(F.count("*").alias("n"), F.bool_or(F.col("listed").isNull() | F.coalesce(F.expr("array_contains(listed, state)"), F.lit(False))).alias("here"))
     found = size.groupBy("event").agg(F.count("*").alias("cluster_count"), F.max("n").alias("cluster_max_size"), F.bool_or("here").alias("here")).where("here").drop("here")
@@ -60,7 +62,7 @@ def flaps_met(flaps: DataFrame, events: DataFrame) -> DataFrame:
     """(event, flap_count, flap_max_reports, flap_peak_ratio): flaps overlapping an event in a listed state."""
     e = events.select("event", F.col("start").alias("e0"), F.col("end").alias("e1"), F.col("states").alias("listed"))
     on = (F.col("start") <= F.col("e1")) & (F.col("e0") <= F.col("end")) & (F.col("listed").isNull() | F.expr("array_contains(listed, state)"))
-    found = flaps.join(F.broadcast(e), on).groupBy("event").agg(F.count("*").alias("flap_count"), F.max("n_reports").alias("flap_max_reports"), F.max("peak_ratio").alias("flap_peak_ratio"))
+    found = flaps.join(small(e), on).groupBy("event").agg(F.count("*").alias("flap_count"), F.max("n_reports").alias("flap_max_reports"), F.max("peak_ratio").alias("flap_peak_ratio"))
     return events.select("event").join(found, "event", "left").na.fill(0)
 
 
@@ -73,7 +75,7 @@ def phrases_met(signatures: DataFrame, events: DataFrame) -> DataFrame:
     names = signatures.select(F.col("event").alias("sig_event")).distinct().join(events.select(F.col("event").alias("sig_event"), "position"), "sig_event", "left")
     words = F.slice(F.split(F.lower("event"), r"\s+"), 1, 2)
     alike = F.exists(words, lambda w: F.lower("sig_event").contains(w))
-    named = events.select("event", "expected_phrases").join(F.broadcast(names), alike)
+    named = events.select("event", "expected_phrases").join(small(names), alike)
     first = named.groupBy("event", "expected_phrases").agg(F.min_by("sig_event", F.struct(F.coalesce("position", F.lit(1 << 30)), "sig_event")).alias("sig_event"))
     best = F.struct(-F.col("distinctiveness"), "phrase")
     got = signatures.groupBy(F.col("event").alias("sig_event")).agg(F.collect_list(F.lower("phrase")).alias("got"), F.min_by("phrase", best).alias("sig_top_phrase"), F.max("distinctiveness").alias("sig_top_score"))  # at most the top phrases

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reportmill.functions.text import word_safe
 from reportmill.operators import vectors
+from reportmill.operators.components import components
 from reportmill.params import DEFAULT, Params
 from reportmill.runtime import materialize, numbered
 
@@ -55,15 +56,61 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
+#: Reports of one date up to which they meet in one task; those of a busier date meet in pairs of blocks of this size.
+BLOCK_ROWS = 2048
+
+
+def _linked(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(source_id, part): parts of the busy dates that average linkage can't join: reports chained by distances below the threshold.
+
+    Every pair of blocks of a date is a group, so groups are bounded; a group gives one link from each report to each set of the
+    other block's reports it is chained to.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    placed = rows.join(sizes.where(F.col("n") > BLOCK_ROWS).select("event_date", blocks.alias("blocks")), "event_date")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("source_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "left": F.col("own") <= F.col("other")})
+
+    def link(group: pa.Table) -> pa.Table:
+        ids = np.array(group.column("source_id").to_pylist(), object)
+        unit = group.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        left = group.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        same = left.all()
+        x, y = (np.flatnonzero(left), np.flatnonzero(left)) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+        label = np.arange(len(ids))
+        a, b = [], []
+        for at in range(0, len(x), 512):
+            near = 1 - unit[x[at : at + 512]] @ unit[y].T < threshold
+            for k, row in zip(x[at : at + 512].tolist(), near, strict=True):
+                hit = y[row]
+                hit = hit[label[hit] != label[k]]
+                for v in np.unique(label[hit]).tolist():
+                    a.append(ids[k])
+                    b.append(ids[hit[label[hit] == v][0]])
+                    label[label == v] = label[k]
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+
+    found = placed.select("event_date", "i", "j", "left", "source_id", "unit").groupBy("event_date", "i", "j").applyInArrow(link, "a string, b string")
+    return components(found).select(F.col("node").alias("source_id"), F.col("label").alias("part"))
+
+
 def members(reports: DataFrame, embeddings: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """(event_date, cluster_key, source_id): members of clusters of the least size; the key is the smallest id.
 
     Dates with too few embedded reports are dropped before the shuffle by date. A date's reports meet in one task, which
-    average linkage needs; its matrix is quadratic in the reports of one date.
+    average linkage needs, up to ``BLOCK_ROWS`` of them. Two clusters only ever join over a pair below the threshold, so a busier
+    date falls exactly into the parts its close pairs chain together, and each part is linked by itself; reports near no
+    other are no part. A task then holds one such part, whose matrix is quadratic in its reports.
     """
     p = params
     rows = reports.where("event_date IS NOT NULL").select("source_id", "event_date").join(vectors.units(embeddings), "source_id")
-    busy = rows.groupBy("event_date").agg(F.count("*").alias("n")).where(F.col("n") >= p.night_min_reports).select("event_date")
+    counted = materialize(rows.groupBy("event_date").agg(F.count("*").alias("n")).where(F.col("n") >= p.night_min_reports), "dates")
+    rows = rows.join(counted, "event_date").withColumn("part", F.lit(""))
+    if not counted.where(F.col("n") > BLOCK_ROWS).isEmpty():
+        rows = materialize(rows, "night_rows")
+        parts = _linked(rows.drop("n", "part"), counted, p.night_distance)
+        busy = rows.where(F.col("n") > BLOCK_ROWS).drop("part").join(parts, "source_id").select(*rows.columns)
+        rows = rows.where(F.col("n") <= BLOCK_ROWS).unionByName(busy)
 
     def cluster(day: pa.Table) -> pa.Table:
         ids = np.array(day.column("source_id").to_pylist(), object)
@@ -76,7 +123,7 @@ def members(reports: DataFrame, embeddings: DataFrame, params: Params = DEFAULT)
         dates = day.column("event_date").combine_chunks().take(pa.array(np.flatnonzero(keep)))
         return pa.table({"event_date": dates, "cluster_key": pa.array(ids[first][group][keep], pa.string()), "source_id": pa.array(ids[keep], pa.string())})
 
-    found = rows.join(busy, "event_date", "left_semi").groupBy("event_date").applyInArrow(cluster, "event_date date, cluster_key string, source_id string")
+    found = rows.drop("n").groupBy("event_date", "part").applyInArrow(cluster, "event_date date, cluster_key string, source_id string")
     return materialize(found, "nights")  # linked once, however often the members are used
 
 

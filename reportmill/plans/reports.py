@@ -524,13 +524,20 @@ def centroid_medoid(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.medoids(placed, ["archetype"]).withColumn("similarity", F.round("similarity", 5))
 
 
-@query(f"""WITH {R}, {_UNITS}, r AS (SELECT source_id, event_date, u FROM reports JOIN un USING (source_id) WHERE event_date IS NOT NULL)
-SELECT a.event_date, a.source_id AS a, b.source_id AS b, round(list_dot_product(a.u, b.u), 5) AS cosine FROM r a JOIN r b ON a.event_date = b.event_date AND a.source_id < b.source_id""", dates=("event_date",))
-def cosine_pairs_same_date(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"""WITH {R}, {_UNITS}, fl AS (SELECT event_date, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM reports JOIN un USING (source_id) WHERE event_date IS NOT NULL), s AS (SELECT event_date, i, sum(x) AS s, count(*) AS n FROM fl GROUP BY 1, 2)
+SELECT event_date, max(n) AS n, round(CASE WHEN max(n) > 1 THEN (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) ELSE 1 END, 5) AS coherence FROM s GROUP BY 1""", dates=("event_date",))
+def date_coherence(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean cosine over all pairs of a date's reports, without forming pairs."""
     r = reports(spark, folder).select("source_id", "event_date").where("event_date IS NOT NULL").join(vectors.units(table(spark, folder, "nuforc_embeddings")), "source_id")
-    a, b = r.alias("a"), r.alias("b")
-    pairs = a.join(b, (F.col("a.event_date") == F.col("b.event_date")) & (F.col("a.source_id") < F.col("b.source_id")))
-    return pairs.select(F.col("a.event_date").alias("event_date"), F.col("a.source_id").alias("a"), F.col("b.source_id").alias("b"), F.round(vectors.dot(F.col("a.unit"), F.col("b.unit")), 5).alias("cosine"))
+    return vectors.coherence(r, ["event_date"]).withColumn("coherence", F.round("coherence", 5))
+
+
+@query(f"""WITH {_UNITS}, {_LABELS}, fl AS (SELECT archetype, generate_subscripts(u, 1) AS i, unnest(u) AS x FROM un JOIN lab USING (source_id)), c AS (SELECT archetype, list(m ORDER BY i) AS c FROM (SELECT archetype, i, avg(x) AS m FROM fl GROUP BY 1, 2) GROUP BY 1)
+SELECT archetype, source_id, round(list_cosine_similarity(u, c), 5) AS cosine FROM un JOIN lab USING (source_id) JOIN c USING (archetype)""")
+def cosine_to_centroid(spark: SparkSession, folder: str) -> DataFrame:
+    placed = _labels(spark, folder).join(vectors.units(table(spark, folder, "nuforc_embeddings")), "source_id")
+    near = placed.join(vectors.centroids(placed, ["archetype"]), "archetype")
+    return near.select("archetype", "source_id", F.round(vectors.cosine(F.col("unit"), F.col("centroid")), 5).alias("cosine"))
 
 
 @query("SELECT count(*) AS n, round(avg(n), 4) AS mean_norm FROM (SELECT sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM nuforc_embeddings WHERE embedding IS NOT NULL)")

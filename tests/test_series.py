@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reportmill.operators import crossref, flaps, samenight, vectors, vocab
+from reportmill.operators.components import components
 from reportmill.params import Params
 
 REP = "source_id string, state string, event_date date, city string, shape_norm string"
@@ -138,3 +139,20 @@ def test_needed_literals():
     cases = {r"\bsaucer\b": "saucer", r"\bdi(?:sc|sk)\b": "di", r"a|bc": "", r"(?i)orb": "", r"\bv[- ]?shape": "shape", r"ab?cd": "cd", r"(": ""}
     got = {p: vocab.needed(p) for p in cases}
     assert got.pop(r"\bdi(?:sc|sk)\b") in ("di", "dis") and got == {k: v for k, v in cases.items() if not k.startswith(r"\bdi")}
+
+
+def test_busy_dates_are_split_without_change(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centers = rng.standard_normal((12, 8))
+    x = np.concatenate([c / np.linalg.norm(c) + 0.25 * rng.standard_normal((12, 8)) for c in centers] + [rng.standard_normal((30, 8))])
+    rows = [(f"s{k:03d}", "2001-02-03" if k % 5 else "2002-03-04", v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "source_id string, d string, embedding array<float>").repartition(4).withColumn("event_date", F.to_date("d"))
+    whole = {tuple(r) for r in samenight.members(df, df.select("source_id", "embedding")).collect()}
+    monkeypatch.setattr(samenight, "BLOCK_ROWS", 20)
+    assert {tuple(r) for r in samenight.members(df, df.select("source_id", "embedding")).collect()} == whole and len(whole) > 60
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
+    got = components(spark.createDataFrame(edges, "a int, b int")).toPandas()
+    assert got.node.is_unique and {k: set(g) for k, g in got.groupby("label").node} == {0: set(range(41)), 100: set(range(100, 130))}
