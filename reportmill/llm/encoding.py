@@ -320,10 +320,11 @@ def garbled(documents: DataFrame, params: EncodingParams = EncodingParams(), key
     """(doc_id, restored, mappings, lost): the garbled documents; lost: characters that cannot be restored."""
     p, spark = params, documents.sparkSession
     texts = spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text")).where("doc_id IS NOT NULL AND text <> ''"))
-    shared = spark.sparkContext.broadcast(model(pair_counts(texts, "text", p.rounds), p))
+    known = model(pair_counts(texts, "text", p.rounds), p)
+    shared = spark.sparkContext.broadcast((known.pair, known.score, known.joint, known.unseen))  # plain arrays: workers need not have this package
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = shared.value, {}
+        known, memo = Model(*shared.value), {}
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             memo = memo if len(memo) < 200_000 else {}
             rows, docs = [], b.column(1).to_pylist()

@@ -209,16 +209,11 @@ class Dictionary:
         return (*(inside or (None, None, None)), best, sorted(where), first)
 
 
-class Portion:
-    """What is broadcast: a part of the gazetteer and the states. The dictionary is built where it is first used and kept with the broadcast, once per worker."""
-
-    def __init__(self, places: list[tuple[int, str, str, int]], states: list[tuple[str, str]], max_edits: int):
-        self.places, self.states, self.max_edits, self.built = places, states, max_edits, None
-
-    def book(self) -> tuple[Dictionary, StateNames]:
-        if self.built is None:
-            self.built = Dictionary(self.places, self.max_edits), StateNames(self.states)
-        return self.built
+def _built(portion: dict) -> tuple[Dictionary, StateNames]:
+    """Dictionary and state names of a broadcast portion, built where they are first used and kept in its value: once per worker."""
+    if "built" not in portion:
+        portion["built"] = Dictionary(portion["places"], portion["max_edits"]), StateNames(portion["states"])
+    return portion["built"]
 
 
 def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params: PlaceParams = PlaceParams()) -> DataFrame:
@@ -233,10 +228,10 @@ def matched(reports: DataFrame, gazetteer: DataFrame, states: DataFrame, params:
     schema = "row_id long, state string, weight double, freq long, place long, best double, within array<string>, first long"
 
     def scan(held: list[tuple[int, str, str, int]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Portion(held, names, p.max_edits))
+        shared = spark.sparkContext.broadcast({"places": held, "states": names, "max_edits": p.max_edits})
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            book, known = shared.value.book()
+            book, known = _built(shared.value)
 
             @lru_cache(maxsize=200_000)
             def answer(city: str, state: str | None) -> tuple:

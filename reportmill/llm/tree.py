@@ -39,13 +39,17 @@ class TreeParams:
 
 @dataclass(frozen=True)
 class Tree:
-    """Plain arrays, so that it can be broadcast; node 0 is the root."""
+    """Plain arrays, node 0 is the root. Broadcast as a tuple of its fields: workers need not have this package."""
 
     centers: np.ndarray  #: unit centers
     children: np.ndarray  #: (nodes x branching) node numbers, -1 where there is none
     bonus: np.ndarray  #: what is added to a node's cosine
     weight: np.ndarray  #: share of the sample
 
+    @property
+    def fields(self) -> tuple[np.ndarray, ...]:
+        return self.centers, self.children, self.bonus, self.weight
+
     @property
     def leaves(self) -> np.ndarray:
         return np.flatnonzero(self.children[:, 0] < 0)
@@ -181,11 +185,11 @@ def visits(tree: Tree, unit: np.ndarray, margin: float = np.inf, first: bool = F
 
 def _true_leaves(base: DataFrame, tree: Tree, queries: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
     """(query, home leaf of a true neighbour): the k best other rows of cosine >= ``least`` of every query, by comparison with all rows."""
-    shared = base.sparkSession.sparkContext.broadcast((queries, tree))
+    shared = base.sparkSession.sparkContext.broadcast((queries, tree.fields))
     k = k + 1  # a query finds itself
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, tree = shared.value
+        queries, tree = shared.value[0], Tree(*shared.value[1])
         best = np.full((len(queries), k), -2.0, np.float32)
         leaf = np.zeros((len(queries), k), np.int64)
         for b in batches:
@@ -250,12 +254,12 @@ def routed(base: DataFrame, index: Index) -> DataFrame:
     A heavy leaf is split into blocks of home rows and blocks of asking rows by a hash of the id; every pair of such blocks
     is a group, so both sides of a group are bounded.
     """
-    shared = base.sparkSession.sparkContext.broadcast(index)
+    shared = base.sparkSession.sparkContext.broadcast((index.tree.fields, index.blocks, index.margin))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        tree, blocks, margin = shared.value.tree, shared.value.blocks, shared.value.margin
+        tree, blocks, margin = Tree(*shared.value[0]), *shared.value[1:]
         for b in batches:
             rows, unit = matrix(b.column(1))
             if not len(unit) or unit.shape[1] != tree.centers.shape[1]:
