@@ -70,16 +70,17 @@ def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """For each source of the targets whether its limit of repeats is kept, no document stands twice, and its share is met within a hundredth."""
+    """For each source of the targets whether its limit of repeats is kept, no document stands twice, and its share is met within a hundredth and the size of two documents, which are taken whole."""
     documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
     selection, report = mixing.mix(documents, targets)
     taken = selection.groupBy("source").agg(F.max("copies").alias("most"), (F.count("*") == F.count_distinct("doc_id")).alias("once"))
+    sizes = selection.agg(F.max("n_tokens").alias("largest"), F.sum(F.col("copies") * F.col("n_tokens")).alias("total"))
     there = documents.where("text <> ''").select("source").distinct().withColumn("there", F.lit(True))
     rows = targets.join(there, "source", "left").join(taken, "source", "left").join(report.select("source", "actual_share"), "source", "left")
     held = rows.agg(F.sum(F.when(F.col("there"), F.col("target_share"))).alias("held"))
     wanted = F.when(F.col("there"), F.col("target_share") / F.col("held")).otherwise(0.0)
-    met = F.abs(F.coalesce("actual_share", F.lit(0.0)) - wanted) <= 0.01
-    return rows.crossJoin(F.broadcast(held)).select("source", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("limit_kept"), F.coalesce("once", F.lit(True)).alias("once"), met.alias("share_met"))  # held is one row
+    met = F.abs(F.coalesce("actual_share", F.lit(0.0)) - wanted) <= 0.01 + F.coalesce(2 * F.col("largest") / F.col("total"), F.lit(0.0))
+    return rows.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(sizes)).select("source", F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("limit_kept"), F.coalesce("once", F.lit(True)).alias("once"), met.alias("share_met"))  # held and sizes are one row each
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
