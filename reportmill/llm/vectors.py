@@ -58,8 +58,12 @@ def unpack(column: pa.Array, bits: int) -> np.ndarray:
 
 
 def bounded_sample(df: DataFrame, n: int, most: int, seed: int = 42) -> np.ndarray:
-    """Unit vectors of about ``most`` rows (never more than ``most``) chosen by a hash of the id; ``n``: rows of ``df``."""
-    share = min(1.0, most / max(n, 1))
-    picked = df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(most)
-    got = picked.select("vec").toArrow()
-    return matrix(got.column("vec"))[1]
+    """Unit vectors of about ``most`` rows, never more, chosen and ordered by a hash of the id; ``n``: rows of ``df``.
+
+    Rows are drawn for a fiftieth less than ``most``, so that hardly ever one has to be left out; no row is shuffled.
+    """
+    share = min(1.0, 0.98 * most / max(n, 1))
+    mark = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
+    got = df.select(mark.alias("mark"), "vec").where(F.col("mark") < int(share * (1 << 40)) + 1).toArrow()
+    order = np.argsort(got.column("mark").to_numpy(), kind="stable")[:most]
+    return matrix(got.column("vec").take(pa.array(order)))[1]
