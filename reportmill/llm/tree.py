@@ -26,7 +26,7 @@ from reportmill.llm.vectors import bounded_sample, matrix, pack
 
 @dataclass(frozen=True)
 class TreeParams:
-    leaf_rows: int = 512  #: rows a leaf should hold
+    leaf_rows: int = 1024  #: rows a leaf should hold
     max_leaves: int = 4096  #: bound of the tree, hence of its broadcast (4,096 leaves of 384 floats: 7 MB)
     branching: int = 8
     sample_rows: int = 32_768  #: bound of the rows the tree is fitted on
