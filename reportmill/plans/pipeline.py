@@ -123,6 +123,43 @@ def provenance(spark: SparkSession, folder: str) -> DataFrame:
     return got.where("length(sha256) = 64 AND bytes > 0 AND acquired_at IS NOT NULL").groupBy("n_rows", "schema").agg(F.count("*").cast("int").alias("files"))
 
 
+@query("SELECT row_id, source_id, city FROM nuforc")
+def parquet_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A table written, refused where it would overwrite what it reads, and read back."""
+    path = _written(spark, "parquet")
+    writers.parquet(table(spark, folder, "nuforc").select("row_id", "source_id", "city"), path)
+    got = readers.parquet(spark, path)
+    try:
+        writers.parquet(got, path)
+    except ValueError:
+        return got
+    raise RuntimeError("a table was written over what it reads")
+
+
+@query(f"WITH {R} SELECT shape_norm, count(*) AS n_reports FROM reports GROUP BY 1")
+def cached_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts from a view that is kept for an hour."""
+    name = f"shapes_{abs(hash(folder))}"
+    readers.cached_view(reports(spark, folder).select("shape_norm"), name)
+    return spark.table(name).groupBy("shape_norm").agg(F.count("*").alias("n_reports"))
+
+
+@query(f"WITH {base._JUDGED} SELECT count(*) AS n_rows FROM judged WHERE reason IS NULL")
+def guarded_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows cleaning leaves; it is an error if none."""
+    raw = readers.parquet(spark, readers.required(spark, f"{folder}/nuforc.parquet"))
+    return readers.nonempty(clean.cleaned(raw), "cleaning").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT row_id, lower(trim(coalesce(shape, ''))) AS shape, true AS stamped FROM nuforc")
+def details_stamped(spark: SparkSession, folder: str) -> DataFrame:
+    """Detail pages with the time of the run."""
+    shape = F.lower(F.trim(F.coalesce("shape", F.lit(""))))
+    page = F.concat(F.lit("<main><p>Shape: "), F.regexp_replace(F.regexp_replace(shape, "&", "&amp;"), "<", "&lt;"), F.lit("</p><p>text</p></main>"))
+    got = html.parse_details(table(spark, folder, "nuforc").select("row_id", page.alias("html")), "row_id", stamp=True)
+    return got.select("row_id", "shape", F.col("scraped_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("stamped"))
+
+
 # --- acquisition ---
 
 
@@ -365,6 +402,14 @@ def flaps_beside_state(spark: SparkSession, folder: str) -> DataFrame:
     return near.join(F.broadcast(table(spark, folder, "state_centroid").select(F.col("state").alias("label"))), "label")
 
 
+@query(f"""WITH {base._INSIDE}, {base._EVENTS} SELECT event, count(*) AS n_flaps FROM ev JOIN cc ON list_has_any(s, states) GROUP BY 1""")
+def events_beside_flaps(spark: SparkSession, folder: str) -> DataFrame:
+    """For each event with states the bursts that share days with any burst of those states."""
+    near = flaps.concurrent(base._islands(spark, folder))
+    listed = F.broadcast(events.catalog(spark).where("states IS NOT NULL").select("event", "states"))  # the catalog of this module
+    return near.join(listed, F.arrays_overlap("concurrent_states", "states")).groupBy("event").agg(F.count("*").alias("n_flaps"))
+
+
 # --- events ---
 
 #: Reports of one date and state taken as a cluster, a grouping SQL can express, where the average-linkage clusters would stand.
