@@ -1,18 +1,20 @@
 """Distinctive phrases of groups of reports by TF-IDF.
 
-Texts are tokenised once for all groups. n-grams stay within a report. Vocabularies are bounded by ``features``, so the
-term tables may be broadcast; the background of a group is the corpus totals minus the group, never a second scan.
+Texts are tokenised once for the vocabulary and those of members once more for all groups. n-grams stay within a report.
+Vocabularies are bounded by ``features``, so the term tables may be broadcast; the background of a group is the corpus totals
+minus the group, never a scan of its own.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportmill.functions import text
 from reportmill.params import DEFAULT, Params
+from reportmill.runtime import materialize, small
 
 #: Words left out before n-grams are built.
 STOP_WORDS = (
@@ -24,10 +26,19 @@ STOP_WORDS = (
 
 def grams(reports: DataFrame, low: int, high: int, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(source_id, term): every n-gram occurrence of every narrative."""
-    words = text.tokens(F.coalesce(F.col("narrative"), F.lit("")), list(stop))
+    return reports.select("source_id", F.explode(_per_text(F.coalesce(F.col("narrative"), F.lit("")), low, high, stop)).alias("term"))
+
+
+def _per_text(narrative: Column, low: int, high: int, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     # bound through a lambda, so a text is tokenised once and not once per n-gram
-    per_text = F.flatten(F.transform(F.array(words), lambda w: text.ngrams(w, low, high)))
-    return reports.select("source_id", F.explode(per_text).alias("term"))
+    return F.flatten(F.transform(F.array(text.tokens(narrative, list(stop))), lambda w: text.ngrams(w, low, high)))
+
+
+def _marked(texts: Column, low: int, high: int) -> Column:
+    """(term, fresh) for every n-gram occurrence of several texts; ``fresh`` marks one of each term."""
+    in_order = F.sort_array(F.flatten(F.transform(texts, lambda t: _per_text(t, low, high))))
+    mark = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("term"), F.coalesce(F.get(g, i - 1) != x, F.lit(True)).alias("fresh")))
+    return F.flatten(F.transform(F.array(in_order), mark))
 
 
 def vocabulary(occurrences: DataFrame, features: int) -> DataFrame:
@@ -42,24 +53,27 @@ def signatures(reports: DataFrame, members: DataFrame, group: str, params: Param
     of the group and one of the rest; only positive ones count. Groups below the least number of reports are left out.
     """
     p = params
-    occ = grams(reports, low, high)
-    vocab = vocabulary(occ, p.signature_features)
-    known = members.select(group, "source_id").distinct().join(reports.select("source_id"), "source_id")
+    vocab = materialize(vocabulary(grams(reports, low, high), p.signature_features), "vocabulary")
+    known = materialize(members.select(group, "source_id").distinct().join(reports.select("source_id"), "source_id", "left_semi"), "members")
     sizes = known.groupBy(group).agg(F.count("*").alias("n_reports")).where(F.col("n_reports") >= p.signature_min_reports)
-    inside = occ.join(known.join(sizes.select(group), group, "left_semi"), "source_id")
-    counts = inside.groupBy(group, "term").agg(F.count("*").alias("e"), F.countDistinct("source_id").alias("docs")).join(F.broadcast(vocab), "term")
+    # texts travel, not their n-grams; those leave a text only if they are in the vocabulary
+    own = reports.select("source_id", F.coalesce("narrative", F.lit("")).alias("narrative")).join(small(known.join(small(sizes), group)), "source_id")
+    texts = own.groupBy(group, "n_reports", "source_id").agg(F.collect_list("narrative").alias("texts"))  # rows of one id
+    inside = texts.select(group, "n_reports", F.explode(_marked(F.col("texts"), low, high)).alias("x")).select(group, "n_reports", "x.*")
+    counts = inside.join(F.broadcast(vocab), "term").groupBy(group, "n_reports", "term", "total").agg(F.count("*").alias("e"), F.count_if("fresh").alias("docs"))
     one, two = math.log(1.5) + 1, 1.0
     idf = F.when(F.col("total") > F.col("e"), two).otherwise(one)
     rest = F.col("total") - F.col("e")
     scored = counts.withColumns({"we": (1 + F.log("e")) * idf, "wb": F.when(rest > 0, (1 + F.log(F.when(rest > 0, rest))) * idf).otherwise(0.0), "alone": (1 + F.log("total")) * one})
-    norms = scored.groupBy(group).agg(F.sqrt(F.sum(F.col("we") * F.col("we"))).alias("ne"), F.sum(F.col("wb") * F.col("wb") - F.col("alone") * F.col("alone")).alias("touched"))
     base = vocab.agg(F.sum(F.pow((1 + F.log("total")) * one, F.lit(2))).alias("base"))
-    out = scored.join(norms.crossJoin(F.broadcast(base)), group)  # base is one row
+    of = Window.partitionBy(group)  # a group has at most ``features`` rows
+    out = scored.withColumns({"ne": F.sqrt(F.sum(F.col("we") * F.col("we")).over(of)), "touched": F.sum(F.col("wb") * F.col("wb") - F.col("alone") * F.col("alone")).over(of)})
+    out = out.crossJoin(F.broadcast(base))  # base is one row
     nb = F.sqrt(F.greatest(F.col("base") + F.col("touched"), F.lit(0.0)))
     out = out.withColumn("score", F.col("we") / F.col("ne") - F.when(nb > 0, F.col("wb") / nb).otherwise(0.0)).where("score > 1e-9")
-    w = Window.partitionBy(group).orderBy(F.desc(F.round("score", 6)), "term")
+    w = of.orderBy(F.desc(F.round("score", 6)), "term")
     top = out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= (phrases or p.signature_phrases))
-    return top.join(sizes, group).select(
+    return top.select(
         group, F.col("term").alias("phrase"), F.round("score", 4).alias("distinctiveness"), F.col("docs").alias("group_count"), F.round(F.col("docs") * 100 / F.col("n_reports"), 2).alias("rate_pct"), "n_reports"
     )
 

@@ -1,6 +1,10 @@
+import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from reportmill.operators import archetypes, events, explore, signatures
+from reportmill.plans import reports as base
+from tests import compare
 
 REP = "source_id string, event_year int, state string, shape_norm string, city string, narrative string, event_date date, narrative_chars int"
 
@@ -79,6 +83,27 @@ def test_event_members_and_missing_events(spark):
     assert len(got) == 13 and got["Phoenix Lights (1997)"].corpus_reports == 1 and got["Phoenix Lights (1997)"].shape_matches and not got["Illinois Triangle (2000)"].shape_matches
 
 
+def test_signatures_of_repeated_ids_as_sql_gives_them(spark):
+    texts = ["red light over lake", "red light over lake red light", "blue beam far away", "red light near barn", None, "", "blue beam over lake"]
+    r = [(f"r{i % 9}", texts[i % 7]) for i in range(25)] + [(None, "red light over lake")]  # ids stand on several rows, with other texts
+    m = [(f"r{i}", "ab"[i % 2]) for i in range(9)] + [("r1", "a"), ("r1", "a"), ("r2", "c"), (None, "a"), ("none", "c"), ("r3", None), ("r5", None), ("r7", None)]
+    rep, members = spark.createDataFrame(r, "source_id string, narrative string"), spark.createDataFrame(m, "source_id string, grp string")
+    con = duckdb.connect()
+    con.register("reports", pd.DataFrame(r, columns=["source_id", "narrative"], dtype=object))
+    con.register("known", pd.DataFrame(m, columns=["source_id", "grp"], dtype=object))
+    want = con.execute(f"WITH {base._sig('grp')} SELECT * FROM sg").df()
+    got = signatures.signatures(rep, members, "grp")
+    assert len(want) > 10
+    assert compare.rows(got.toPandas()) == compare.rows(want)
+
+
+def test_signatures_take_texts_apart_once_for_a_group(spark):
+    """n-gram occurrences are counted where they arise: one explode behind the vocabulary, and none is shuffled by its term."""
+    rep = spark.range(50).selectExpr("cast(id AS string) AS source_id", "concat('red light over lake ', id % 3) AS narrative")
+    plan = signatures.signatures(rep, rep.selectExpr("source_id", "'g' AS grp"), "grp")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+
+
 def test_signatures_need_enough_reports(spark):
     rep = spark.createDataFrame([(f"s{k}", "bright orange orbs hovering" if k < 4 else "quiet night sky view", "TX") for k in range(9)] + [("n", None, None)], "source_id string, narrative string, state string")
     m = spark.createDataFrame([(f"s{k}", "g") for k in range(4)] + [("s8", "h"), ("gone", "g")], "source_id string, grp string")
