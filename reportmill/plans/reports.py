@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reportmill.functions import dates, text
 from reportmill.operators import acquire, archetypes, clean, crossref, events, explore, flaps, geocode, samenight, signatures, vectors, vocab
 from reportmill.params import DEFAULT
-from reportmill.runtime import table
+from reportmill.runtime import materialize, table
 from reportmill.sources import html, writers
 from reportmill.streaming import bursts
 
@@ -413,7 +413,7 @@ def event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Rests on the clusters of one night, which SQL has no form for."""
     rep, cat = reports(spark, folder), events.catalog(spark)
     night = samenight.members(rep, table(spark, folder, "nuforc_embeddings"), LOOSE_NIGHT)
-    found = signatures.signatures(rep, events.members(rep, cat), "event")
+    found = materialize(signatures.signatures(rep, events.members(rep, cat), "event"), "signatures")
     return events.matrix(rep, cat, night, flaps.enriched(_rows(spark, folder), _islands(spark, folder)), found)
 
 
