@@ -1,18 +1,12 @@
-"""Near-identical texts by a multi-index Hamming join.
-
-Every text becomes its set of distinct word runs (three words here), texts of equal words one class. A class gets a
-signature of ``positions`` minima of hashes, ``bits`` bits each; the signature distance is the number of positions that
-differ. By the pigeonhole principle two signatures within the distance ``radius`` differ in at most radius/chunks positions of
-some chunk; every way to leave that many positions of a chunk out is a key, so all pairs within the radius share a key.
-Rows of equal key meet in groups of bounded size and are compared by signature (bit operations on whole arrays); pairs
-within the radius are compared by their true similarity. Of a key with more rows than a group takes, every pair of blocks is
-a group of its own.
-
-Runs that more than ``stock_share`` of the texts hold ("the night was") say little about kinship, and a key made of such
-runs only would bring together all texts that hold them. They are counted over all texts, and such keys are left out, of texts
-with few such runs: below ``stocked`` of the positions. A large group of copies makes its own runs that frequent, so texts
-with more of them keep all keys. Two sets of similarity 0.5 with a quarter of stock runs each then share a key with a chance of
-0.997 (0.999 without any), and with two fifths, left out on both sides by chance, of 0.98.
+"""Near-identical texts by a prefix-filtered set join; every pair that meets the threshold is found.
+
+Every text becomes its set of distinct word runs (three words here), texts of equal words one class. All runs have one order,
+rarest first by counters that runs share. Two sets of similarity t have t of each set in common, so both hold a run of
+their intersection among their first n - t n + 1 runs: those are a text's keys, without runs that surely only one text has.
+Rows of equal key meet in groups of bounded size. There a bitmap of each set (a bit flips for every run) bounds from below how
+much two sets differ; pairs it can't tell apart are compared by their true similarity. Of a key with more rows than a
+group takes, every pair of blocks is a group of its own. Order, counters and bitmaps decide how much is compared, never what
+is found.
 
 Defined results: a null text and a text shorter than the run have no runs and are near nothing; equal sets have
 similarity 1; repeated rows of one id count once (of rows with different texts, each counts); an empty table gives no
@@ -40,15 +34,14 @@ from reportmill.runtime import materialize, small, spread
 class NearDupParams:
     words: int = 5  #: words in a run
     similarity: float = 0.8
-    positions: int = 24
+    counters: int = 1 << 22  #: shared by the runs' counts, a power of two
+    lanes: int = 5  #: words of 64 bits of a set's bitmap
+    positions: int = 24  #: this and the next three: of ``short_forms`` and ``_keys``, which ``near_pairs`` does not use
     chunks: int = 6
     left_out: int = 2  #: positions of a chunk that may differ: all pairs within a distance of chunks * left_out + chunks - 1 share a key
-    bits: int = 6  #: of a position, where signatures are compared
-    stock_share: float = 0.02
-    stocked: float = 0.2  #: share of stock positions from which a text keeps keys of stock runs only
-    group_rows: int = 262_144  #: rows of a group of keys (41 bytes each)
+    bits: int = 6  #: of a position
+    group_rows: int = 262_144  #: rows of a group of keys (56 bytes each)
     hot_rows: int = 4096  #: rows of one key from which it is split into blocks of this size
-    seed: int = 11
 
     @property
     def radius(self) -> int:
@@ -58,6 +51,8 @@ class NearDupParams:
 #: For texts edited more heavily.
 LOOSE = NearDupParams(words=3, similarity=0.5)
 WORD = re.compile("[a-z0-9]+")
+#: Counters that travel together, and what is taken off a product before it is rounded up.
+SLICE, EPS = 4096, 1e-6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,20 +85,25 @@ def word_runs(texts: list[str | None], words: int, memo: dict[str, int]) -> tupl
     return _mix(h[whole]), owner[:n][whole], digests
 
 
-def _multipliers(p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(1, p.positions + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(p.seed)
-    return _mix(at), _mix(at + np.uint64(1)) | np.uint64(1)
+def run_sets(texts: list[str | None], words: int, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """As ``word_runs``, each run of a text once, by text."""
+    flat, owner, digests = word_runs(texts, words, memo)
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    fresh = (np.diff(flat, prepend=flat[:1] - np.uint64(1)) != 0) | (np.diff(owner, prepend=-1) != 0)
+    return flat[fresh], owner[fresh], digests
 
 
-def hashed(runs: np.ndarray, p: NearDupParams) -> Iterator[np.ndarray]:
-    """The runs' hashes at each position, each a permutation of all 64-bit words."""
-    for flip, by in zip(*_multipliers(p), strict=True):
-        yield (runs ^ flip) * by
+def prefix(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Of sets of ``n`` runs, how many of the first one that any similar set has must be among."""
+    return n - np.ceil(similarity * n - EPS).astype(np.int64) + 1
 
 
-def signatures(flat: np.ndarray, starts: np.ndarray, p: NearDupParams) -> np.ndarray:
-    """(sets x positions) minima of one hash per position over each set; no set may be empty."""
-    return np.stack([np.minimum.reduceat(h, starts) for h in hashed(flat, p)], axis=1)
+def bitmaps(flat: np.ndarray, owner: np.ndarray, sets: int, lanes: int) -> np.ndarray:
+    """(sets x lanes): for each set the bits that its runs flip an odd number of times."""
+    bit = ((flat >> np.uint64(16)) % np.uint64(64 * lanes)).astype(np.int64)
+    odd = np.bincount(owner * (64 * lanes) + bit, minlength=sets * 64 * lanes) & 1
+    return np.packbits(odd.reshape(sets, -1).astype(np.uint8), axis=1).view(np.int64)
 
 
 def _keys(sig: np.ndarray, p: NearDupParams) -> tuple[np.ndarray, list[tuple[int, ...]]]:
@@ -137,15 +137,15 @@ def distances(a: np.ndarray, b: np.ndarray, p: NearDupParams) -> np.ndarray:
     return np.bitwise_count(folded & mask).sum(axis=1)
 
 
-#: A row under one of its keys: ``side`` is 3, or 1 and 2 for the two blocks of a split key that meet.
+#: A row under one of its keys: ``size`` is 4 times the set's, plus 3, or 1 and 2 for the two blocks of a split key that meet.
 def entry_type(p: NearDupParams) -> np.dtype:
-    return np.dtype([("key", "<i8"), ("node", "<i8"), ("short", "<i8", (-(-p.positions // (64 // p.bits)),)), ("side", "<i1")])
+    return np.dtype([("key", "<u4"), ("node", "<i8"), ("bitmap", "<i8", (p.lanes,)), ("size", "<i4")])
 
 
 def close_pairs(rows: np.ndarray, p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of nodes that share a key, on sides that meet, and lie within the radius."""
+    """Pairs (a < b) of nodes that share a key, on sides that meet, but for those whose sizes or bitmaps rule the similarity out."""
     rows = rows[np.argsort(rows["key"], kind="stable")]
-    key, node, short, side = rows["key"].copy(), rows["node"].copy(), rows["short"].copy(), rows["side"].copy()
+    key, node, bitmap, side, size = rows["key"].copy(), rows["node"].copy(), rows["bitmap"].copy(), rows["size"] & 3, (rows["size"] >> 2).astype(np.int64)
     at, out, step = np.arange(len(key)), [np.zeros((0, 2), np.int64)], 1
     while True:
         at = at[at + step < len(key)]
@@ -153,145 +153,113 @@ def close_pairs(rows: np.ndarray, p: NearDupParams) -> tuple[np.ndarray, np.ndar
         if not len(at):
             break
         to = at + step
-        meet = ((side[at] | side[to]) == 3) & (node[at] != node[to])
+        meet = ((side[at] | side[to]) == 3) & (node[at] != node[to]) & (np.minimum(size[at], size[to]) >= p.similarity * np.maximum(size[at], size[to]) - EPS)
         x, y = at[meet], to[meet]
-        near = distances(short[x], short[y], p) <= p.radius
+        both = size[x] + size[y]
+        apart = both - 2 * np.ceil(p.similarity / (1 + p.similarity) * both - EPS)
+        near = np.bitwise_count((bitmap[x] ^ bitmap[y]).view(np.uint64)).sum(axis=1) <= apart
         out.append(np.stack([np.minimum(node[x[near]], node[y[near]]), np.maximum(node[x[near]], node[y[near]])], axis=1))
         step += 1
     pairs = np.unique(np.concatenate(out), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _read(df: DataFrame, key: str, text: str, p: NearDupParams) -> DataFrame:
-    """Rows of two kinds from one scan of the texts: (id, h1, h2, sig) of each text with runs, and (run, n) candidates for stock runs.
-
-    Candidates are kept by lossy counting: after every 8 / share texts each count falls by one and empty ones go, so a
-    partition holds little and undercounts by at most an eighth of the share. A run that frequent overall is so in some
-    partition; each passes on what passes half the share there.
-    """
-    step = int(np.ceil(8 / p.stock_share))
-    schema = "id string, h1 long, h2 long, sig binary, run long, n long, texts long"
+def _read(texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """Rows of three kinds from one scan of the texts: (id, h1, h2) of each text with runs, (slice, counts) how many texts have runs of each counter, and (keys) their keys at most."""
+    schema = "id string, h1 long, h2 long, slice int, counts binary, keys long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        runs, n, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for whole in batches:
-            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-                memo = memo if len(memo) < 500_000 else {}
-                flat, owner, digests = word_runs(b.column(1).to_pylist(), p.words, memo)
-                if not len(flat):
-                    continue
-                starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                sig = np.ascontiguousarray(signatures(flat, starts, p))
-                rows = owner[starts]
-                marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[rows]
-                none = pa.nulls(len(rows), pa.int64())
-                width = sig.shape[1] * 8
-                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), packed, none, none, none], ["id", "h1", "h2", "sig", "run", "n", "texts"])
-                # runs once per text
-                order = np.argsort(flat, kind="stable")
-                f, o = flat[order], owner[order]
-                fresh = (np.diff(f, prepend=f[:1] - np.uint64(1)) != 0) | (np.diff(o, prepend=-1) != 0)
-                v, c = np.unique(f[fresh], return_counts=True)
-                texts += len(rows)
-                runs, place = np.unique(np.concatenate([runs, v]), return_inverse=True)
-                n = np.bincount(place, np.concatenate([n, c])).astype(np.int64) - (b.num_rows == step)
-                runs, n = runs[n > 0], n[n > 0]
-        keep = n > p.stock_share / 2 * texts
-        got, m = runs[keep].view(np.int64), int(keep.sum())
-        blank = pa.nulls(m + 1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(m + 1, pa.string()), blank, blank, pa.nulls(m + 1, pa.binary()), pa.array([*got.tolist(), None], pa.int64()), pa.array([*n[keep].tolist(), None], pa.int64()), pa.array([None] * m + [texts], pa.int64())], ["id", "h1", "h2", "sig", "run", "n", "texts"])
+        held, keys = np.zeros(p.counters, np.uint32), 0
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            memo = memo if len(memo) < 500_000 else {}
+            flat, owner, digests = run_sets(b.column(1).to_pylist(), p.words, memo)
+            at, n = np.unique((flat & np.uint64(p.counters - 1)).astype(np.int64), return_counts=True)
+            held[at] += n.astype(np.uint32)
+            rows, n = np.unique(owner, return_counts=True)
+            keys += int(prefix(n, p.similarity).sum())
+            marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[rows]
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), none], ["id", "h1", "h2", "slice", "counts", "keys"])
+        parts = held.reshape(-1, SLICE)
+        full = np.flatnonzero(parts.any(axis=1))
+        m, blank = len(full), pa.nulls(len(full) + 1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(m + 1, pa.string()), blank, blank, pa.array([*full.tolist(), None], pa.int32()), pa.array([*[parts[k].tobytes() for k in full], None], pa.binary()), pa.array([None] * m + [keys], pa.int64())], ["id", "h1", "h2", "slice", "counts", "keys"])
 
-    texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     return materialize(spread(texts).mapInArrow(read, schema), "read")
 
 
-def _stock(rows: DataFrame, p: NearDupParams) -> np.ndarray:
-    """Runs held by more than ``stock_share`` of all texts: at most runs-per-text / share of them."""
-    texts = rows.agg(F.sum("texts")).first()[0] or 0
-    often = rows.where("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > max(p.stock_share * texts, 8))
-    return np.array(sorted(r.run for r in often.collect()), np.int64).view(np.uint64)
+def _counts(rows: DataFrame, p: NearDupParams) -> np.ndarray:
+    """How many texts have runs of each counter: never fewer than have any one of them."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
+        for x in group.column("counts").to_pylist():
+            total += np.frombuffer(x, np.uint32)
+        return pa.table({"slice": group.column("slice")[:1], "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    out = np.zeros((p.counters // SLICE, SLICE), np.uint32)
+    for r in rows.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():  # 4 bytes a counter
+        out[r["slice"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.reshape(-1)
 
 
 def near_pairs(df: DataFrame, params: NearDupParams = NearDupParams(), key: str = "source_id", text: str = "narrative") -> tuple[DataFrame, DataFrame]:
     """(links, classes): links (a, b, similarity) between representatives of different texts; classes (id, rep) for every id with a set."""
     p = params
     spark = df.sparkSession
-    rows = _read(df, key, text, p)
+    texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    rows = _read(texts, p)
     read = rows.where("id IS NOT NULL")
     # equal texts: only hashes and ids are shuffled, combined before the shuffle
     twice = read.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("h1", "h2", "rep")
     copies = materialize(read.select("id", "h1", "h2").join(twice, ["h1", "h2"]).where("id <> rep").select("id", "h1", "rep").distinct(), "copies")
-    copies = small(copies)
-    classes = materialize(read.select("id", "h1").join(copies, ["id", "h1"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "h1"), "classes")
-    alone = read.join(copies, ["id", "h1"], "left_anti").select("h1", "sig")
-    shared = spark.sparkContext.broadcast(_stock(rows, p))
-
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(keys, node of each, short form of each) of some texts at a time."""
-        stock = [np.sort(h) for h in hashed(shared.value, p)]
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            stocked = np.stack([np.isin(sig[:, k], stock[k]) for k in range(p.positions)], axis=1)
-            keys, stays = _keys(sig, p)
-            idle = np.stack([stocked[:, list(s)].all(axis=1) for s in stays], axis=1) & (stocked.mean(axis=1) < p.stocked)[:, None]
-            i, k = np.nonzero(~idle)
-            yield keys[i, k], b.column(0).to_numpy()[i], short_forms(sig, p)[i]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys frequent enough in this partition to be hot overall, were all partitions alike; a lower bound of their rows."""
-        held, n, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-
-        def settle() -> None:
-            nonlocal held, n
-            v, c = np.unique(np.concatenate(pending), return_counts=True) if pending else (held[:0], n[:0])
-            pending.clear()
-            held, place = np.unique(np.concatenate([held, v[c > 1]]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n, c[c > 1]]), minlength=len(held)).astype(np.int64)
-
-        # keys seen once among some 20,000 texts are not worth keeping
-        for keys, _, _ in keys_of(batches):
-            pending.append(keys)
-            if len(pending) == 20:
-                settle()
-        settle()
-        keep = n > p.hot_rows // (4 * parts)
-        yield pa.RecordBatch.from_arrays([pa.array(held[keep]), pa.array(n[keep])], ["key", "n"])
-
-    parts = max(1, alone.rdd.getNumPartitions())
-    hot = alone.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > p.hot_rows)
-    split = spark.sparkContext.broadcast({r.key: -(-r.n // p.hot_rows) for r in hot.collect()})  # at most keys * texts / hot_rows of them
-    n_texts = rows.agg(F.sum("texts")).first()[0] or 0
-    groups_ = max(1, -(-n_texts * len(_keys(np.zeros((1, p.positions), np.uint64), p)[1]) // p.group_rows))
+    classes = materialize(read.select("id", "h1").join(small(copies), ["id", "h1"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "h1"), "classes")
+    alone = spread(texts).join(small(copies.groupBy("id").agg(F.collect_set("h1").alias("copied"))), "id", "left").select("text", "copied")
+    shared = spark.sparkContext.broadcast(_counts(rows, p))
+    groups_ = max(1, -(-(rows.agg(F.sum("keys")).first()[0] or 0) // p.group_rows))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each bucket that come from one batch, packed into one."""
-        heavy = np.array(sorted(split.value), np.int64)
-        kind = entry_type(p)
-        for whole in batches:
-            packed, buckets = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
-            for keys, node, short in keys_of([whole]):
-                light = ~np.isin(keys, heavy)
-                cols = [(keys[light], node[light], short[light], np.full(int(light.sum()), 3), keys[light] % groups_)]
-                for k in np.unique(keys[~light]).tolist():
-                    of, m = np.flatnonzero(keys == k), split.value[k]
-                    own = (_mix(node[of].view(np.uint64) ^ np.uint64(k % 2**64)) % np.uint64(m)).astype(np.int64)
-                    for other in range(m):
-                        i, j = np.minimum(own, other), np.maximum(own, other)
-                        place = (_mix((i * m + j).view(np.uint64) ^ np.uint64(k % 2**64)) >> np.uint64(1)).astype(np.int64)
-                        cols.append((np.full(len(of), k), node[of], short[of], (own <= other) + 2 * (own >= other), -1 - place))
-                key, of, form, side, bucket = (np.concatenate(c) for c in zip(*cols, strict=True))
-                rows = np.empty(len(key), kind)
-                rows["key"], rows["node"], rows["short"], rows["side"] = key, of, form, side
-                packed.append(rows)
-                buckets.append(bucket)
-            rows, bucket = np.concatenate(packed), np.concatenate(buckets)
+        memo: dict[str, int] = {}
+        counts, kind = shared.value, entry_type(p)
+        # where counters are full, what they count beyond the usual is one run's
+        usual = int(np.median(counts))
+        for b in (whole.slice(at, 4000) for whole in batches for at in range(0, whole.num_rows, 4000)):
+            memo = memo if len(memo) < 500_000 else {}
+            flat, owner, digests = run_sets(b.column(0).to_pylist(), p.words, memo)
+            if not len(flat):
+                continue
+            node = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, 0]
+            skip = np.array([c is not None and h in c for h, c in zip(node.tolist(), b.column(1).to_pylist(), strict=True)])
+            maps, n = bitmaps(flat, owner, len(node), p.lanes), np.bincount(owner, minlength=len(node))
+            often = counts[(flat & np.uint64(p.counters - 1)).astype(np.int64)].astype(np.int64)
+            order = np.lexsort((flat, often, owner))
+            flat, owner, often = flat[order], owner[order], often[order]
+            rank = np.arange(len(flat)) - (np.cumsum(n) - n)[owner]
+            keep = (rank < prefix(n, p.similarity)[owner]) & (often > 1) & ~skip[owner]
+            flat, owner, blocks = flat[keep], owner[keep], -(-(often[keep] - usual) // p.hot_rows)
+            light = blocks <= 1
+            cols = [(flat[light], owner[light], np.full(int(light.sum()), 3), ((flat[light] & np.uint64(2**32 - 1)) % np.uint64(groups_)).astype(np.int64))]
+            heavy, of_heavy = np.unique(flat[~light], return_inverse=True)
+            for k, run in enumerate(heavy):
+                of = np.flatnonzero(~light)[of_heavy == k]
+                m, at = int(blocks[of[0]]), owner[of]
+                own = (_mix(node[at].view(np.uint64) ^ run) % np.uint64(m)).astype(np.int64)
+                for other in range(m):
+                    i, j = np.minimum(own, other), np.maximum(own, other)
+                    place = (_mix((i * m + j).view(np.uint64) ^ run) >> np.uint64(1)).astype(np.int64)
+                    cols.append((np.full(len(of), run), at, (own <= other) + 2 * (own >= other), -1 - place))
+            run, at, side, bucket = (np.concatenate(c) for c in zip(*cols, strict=True))
+            if not len(run):
+                continue
+            packed = np.empty(len(run), kind)
+            packed["key"], packed["node"], packed["bitmap"], packed["size"] = run >> np.uint64(32), node[at], maps[at], 4 * n[at] + side
             order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
+            packed, bucket = packed[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
-            ends = np.append(cut[1:], len(rows))
-            blobs = [rows[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]
+            ends = np.append(cut[1:], len(packed))
+            blobs = [packed[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
     def meet(group: pa.Table) -> pa.Table:
@@ -305,17 +273,12 @@ def near_pairs(df: DataFrame, params: NearDupParams = NearDupParams(), key: str
     # the true similarity of the pairs, on the runs of the texts they name
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     named = classes.where("id = rep").join(nodes, "h1").select("id", "h1").distinct()
-    texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             memo = memo if len(memo) < 500_000 else {}
-            flat, owner, digests = word_runs(b.column(1).to_pylist(), p.words, memo)
-            order = np.lexsort((flat, owner))
-            flat, owner = flat[order], owner[order]
-            fresh = (np.diff(flat, prepend=flat[:1] - np.uint64(1)) != 0) | (np.diff(owner, prepend=-1) != 0)
-            flat, owner = flat[fresh], owner[fresh]
+            flat, owner, digests = run_sets(b.column(1).to_pylist(), p.words, memo)
             ends = np.append(0, np.cumsum(np.bincount(owner, minlength=b.num_rows)))
             marks = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks[:, 0]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))], ["id", "h1", "runs"])

@@ -78,6 +78,25 @@ def test_pairs_of_half_similarity_are_found_with_stock_runs(spark, stock):
     assert len(got & want) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("counters", [1 << 22, 1 << 12])
+def test_every_pair_at_the_threshold_is_found(spark, counters):
+    """Pairs of similarity 0.5 and little more, and just below it, among texts that share a third of their runs; with full counters too."""
+    from dataclasses import replace
+
+    rng, rows, size = random.Random(31), [], 60
+    stock = [f"s{k}" for k in range(22)]
+    for k in range(400):
+        own = [f"a{k}x{i}" for i in range(size - 20)]
+        common = size * 2 // 3 - 20 + rng.randrange(-1, 3)
+        rows += [(f"p{k:04d}", " ".join(stock + own)), (f"q{k:04d}", " ".join(stock + own[:common] + [f"b{k}x{i}" for i in range(len(own) - common)]))]
+    rows += [("z1", "one two three"), ("z2", "one two three four"), ("z3", "one two three four five"), ("z4", "two three four")]
+    sets = {i: runs(t, 3) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "source_id string, narrative string").repartition(4)
+    assert len(want) > 250
+    assert {(r.a, r.b) for r in neardup.near_pairs(df, replace(neardup.LOOSE, counters=counters))[0].collect()} == want
+
+
 def test_keys_above_the_block_size_lose_no_pair(spark):
     rng = random.Random(29)
     base = sentence(rng, 60).split()
