@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.runtime import small
+from reportmill.runtime import materialize, small
 
 #: Name, first and last day, states (None: any), expected shape, expected phrases, kind.
 CATALOG = (
@@ -85,8 +85,13 @@ def phrases_met(signatures: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def matrix(reports: DataFrame, events: DataFrame, clusters: DataFrame, flaps: DataFrame, signatures: DataFrame) -> DataFrame:
-    """One row per event with what each of four methods finds, how many do, and what that makes of it: PASS from two on, PARTIAL for one, else MISS."""
-    out = coverage(reports, events).join(clusters_met(clusters, reports, events), "event").join(flaps_met(flaps, events), "event").join(phrases_met(signatures, events), "event").join(events.select("event", "kind"), "event")
+    """One row per event with what each of four methods finds, how many do, and what that makes of it: PASS from two on, PARTIAL for one, else MISS.
+
+    The methods run one after the other and their rows are written: in one plan all their scans and broadcasts would be begun at once.
+    """
+    covered, met = materialize(coverage(reports, events), "coverage"), materialize(clusters_met(clusters, reports, events), "clusters_met")
+    burst, said = materialize(flaps_met(flaps, events), "flaps_met"), materialize(phrases_met(signatures, events), "phrases_met")
+    out = covered.join(met, "event").join(burst, "event").join(said, "event").join(events.select("event", "kind"), "event")
     hits = [F.col("cluster_count") > 0, F.col("flap_count") > 0, F.col("sig_found"), F.col("shape_matches")]
     n = sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
     return out.withColumn("detections_out_of_4", n).withColumn("status", F.when(n >= 2, "PASS").when(n >= 1, "PARTIAL").otherwise("MISS"))

@@ -73,7 +73,7 @@ def _linked(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
 
     def link(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("source_id").to_pylist(), object)
-        unit = group.column("unit").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        unit = vectors.scaled(group.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
         left = group.column("left").to_numpy(zero_copy_only=False).astype(bool)
         same = left.all()
         x, y = (np.flatnonzero(left), np.flatnonzero(left)) if same else (np.flatnonzero(left), np.flatnonzero(~left))
@@ -90,7 +90,7 @@ def _linked(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
                     label[label == v] = label[k]
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
-    found = placed.select("event_date", "i", "j", "left", "source_id", "unit").groupBy("event_date", "i", "j").applyInArrow(link, "a string, b string")
+    found = placed.select("event_date", "i", "j", "left", "source_id", "embedding").groupBy("event_date", "i", "j").applyInArrow(link, "a string, b string")
     return components(found).select(F.col("node").alias("source_id"), F.col("label").alias("part"))
 
 
@@ -103,7 +103,7 @@ def members(reports: DataFrame, embeddings: DataFrame, params: Params = DEFAULT)
     other are no part. A task then holds one such part, whose matrix is quadratic in its reports.
     """
     p = params
-    rows = reports.where("event_date IS NOT NULL").select("source_id", "event_date").join(vectors.units(embeddings), "source_id")
+    rows = reports.where("event_date IS NOT NULL").select("source_id", "event_date").join(vectors.directed(embeddings), "source_id")
     counted = materialize(rows.groupBy("event_date").agg(F.count("*").alias("n")).where(F.col("n") >= p.night_min_reports), "dates")
     rows = rows.join(counted, "event_date").withColumn("part", F.lit(""))
     if not counted.where(F.col("n") > BLOCK_ROWS).isEmpty():
@@ -115,7 +115,7 @@ def members(reports: DataFrame, embeddings: DataFrame, params: Params = DEFAULT)
     def cluster(day: pa.Table) -> pa.Table:
         ids = np.array(day.column("source_id").to_pylist(), object)
         order = np.argsort(ids)
-        unit = np.array(day.column("unit").to_pylist(), np.float64)[order]
+        unit = vectors.scaled(np.array(day.column("embedding").to_pylist(), np.float64))[order]
         ids = ids[order]
         label = average_linkage(1 - unit @ unit.T, p.night_distance)
         _, first, group, size = np.unique(label, return_index=True, return_inverse=True, return_counts=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,19 @@ def units(df: DataFrame, key: str = "source_id", vector: str = "embedding") -> D
     return df.where(f"{key} IS NOT NULL AND size({vector}) > 0").select(key, scaled.alias("unit")).where("unit IS NOT NULL").groupBy(key).agg(F.first("unit").alias("unit"))
 
 
+def directed(df: DataFrame, key: str = "source_id", vector: str = "embedding") -> DataFrame:
+    """(key, vector): the rows ``units`` keeps with their vectors as stored, half as wide in a shuffle as units in doubles."""
+    length = F.expr(f"sqrt(aggregate({vector}, 0D, (s, x) -> s + double(x) * double(x)))")
+    return df.where(f"{key} IS NOT NULL AND size({vector}) > 0").where(length > 0).select(key, vector).groupBy(key).agg(F.first(vector).alias(vector))
+
+
+def scaled(stored: np.ndarray) -> np.ndarray:
+    """Vectors as rows, at length 1 to the bit as ``units`` gives them: squares are added in order."""
+    v = stored.astype(np.float64)
+    with np.errstate(invalid="ignore"):
+        return v / np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+
+
 def coherence(members: DataFrame, group: list[str], default: float = 1.0) -> DataFrame:
     """(group, n, coherence): mean cosine over all pairs of a group's unit vectors, without forming pairs.
 

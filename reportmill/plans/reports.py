@@ -414,7 +414,8 @@ def event_matrix(spark: SparkSession, folder: str) -> DataFrame:
     rep, cat = reports(spark, folder), events.catalog(spark)
     night = samenight.members(rep, table(spark, folder, "nuforc_embeddings"), LOOSE_NIGHT)
     found = materialize(signatures.signatures(rep, events.members(rep, cat), "event"), "signatures")
-    return events.matrix(rep, cat, night, flaps.enriched(_rows(spark, folder), _islands(spark, folder)), found)
+    islands = materialize(_islands(spark, folder), "flaps")
+    return events.matrix(rep, cat, night, flaps.enriched(_rows(spark, folder), islands), found)
 
 
 @query()

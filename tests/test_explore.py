@@ -118,3 +118,14 @@ def test_archetypes_keep_every_vector_once(spark):
     got = archetypes.assigned(e, dims=2, k=3, min_size=5).collect()
     assert len(got) == 40 and {r.archetype for r in got} <= {-1, 0, 1, 2}
     assert archetypes.assigned(e.limit(0)).count() == 0
+
+
+def test_detections_rest_on_written_rows_of_each_method(spark, folder):
+    got = base.event_detections(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "nuforc" not in plan and plan.count("Exchange") < 20  # one plan of all methods held the scans and broadcasts of all
+    matrix = base.event_matrix(spark, folder).collect()
+    assert {r.kind: tuple(r)[1:] for r in got.collect()} == {
+        kind: (len(m), sum(r.cluster_count > 0 for r in m), sum(r.flap_count > 0 for r in m), sum(r.sig_found for r in m), sum(r.shape_matches for r in m))
+        for kind, m in ((k, [r for r in matrix if k in (None, r.kind)]) for k in ("unexplained", "prosaic", None))
+    }

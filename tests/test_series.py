@@ -156,3 +156,15 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3)]
     got = components(spark.createDataFrame(edges, "a int, b int")).toPandas()
     assert got.node.is_unique and {k: set(g) for k, g in got.groupby("label").node} == {0: set(range(41)), 100: set(range(100, 130))}
+
+
+def test_stored_vectors_scale_to_the_same_units(spark):
+    x = np.random.default_rng(5).standard_normal((40, 384)).astype(np.float32) * 3
+    rows = [(f"s{k:02d}", v.tolist()) for k, v in enumerate(x)]
+    rows += [rows[0], ("zero", [0.0, 0.0]), ("hole", [1.0, None]), ("none", None), ("empty", []), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "source_id string, embedding array<float>").repartition(3)
+    stored = vectors.directed(df)
+    assert dict(stored.dtypes)["embedding"] == "array<float>"
+    stored, unit = sorted(stored.collect()), dict(vectors.units(df).collect())
+    got = vectors.scaled(np.array([v for _, v in stored], np.float32))
+    assert {k: u.tolist() for (k, _), u in zip(stored, got, strict=True)} == unit and len(unit) == len(stored) == 40
